@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, rules, urls
+from . import mixing, packing, quality, rules, urls
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2,
     "op3_quality_rules": rules.op3,
     "op7_mixing": mixing.op7,
     "op8_url_filters": urls.op8,
+    "op9_best_fit_packing": packing.op9,
 }
 ORACLES = {
     "op3_quality_rules": rules.ORACLE,
