@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, rules, urls
+from . import language, mixing, packing, quality, rules, urls, winnow
 
 QUERIES = {
     "op2_quality_classifier": quality.op2,
     "op3_quality_rules": rules.op3,
+    "op5_document_fingerprints": winnow.op5,
+    "op6_language_id": language.op6,
     "op7_mixing": mixing.op7,
     "op8_url_filters": urls.op8,
     "op9_best_fit_packing": packing.op9,
