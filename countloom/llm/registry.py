@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, quality, rules, urls, winnow
+from . import language, mixing, ngram_join, packing, quality, rules, urls, winnow
 
 QUERIES = {
     "op2_quality_classifier": quality.op2,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_mixing": mixing.op7,
     "op8_url_filters": urls.op8,
     "op9_best_fit_packing": packing.op9,
+    "op10_ngram_jaccard_join": ngram_join.op10,
 }
 ORACLES = {
     "op3_quality_rules": rules.ORACLE,
