@@ -104,14 +104,17 @@ def plan(docs: DataFrame, most: int = MOST) -> DataFrame:
 
 def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The mixed corpus: rows of ``docs``, each as often as the mix takes it."""
-    taken = plan(docs, most).where("copies > 0").groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias("__n"), F.count("*").alias("__rows"))
+    taken = plan(docs, most).groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias("__n"), F.count("*").alias("__rows"))
+    taken = cut(taken.where("__n > 0"), "taken")
     left = docs.withColumn("__tie", F.xxhash64("text"))
     on = left["doc_id"].eqNullSafe(taken["doc_id"]) & left["source"].eqNullSafe(taken["source"]) & (left["__tie"] == taken["tie"])
-    joined = left.join(taken.select("doc_id", "source", "tie", "__n", "__rows"), on).select(left["*"], "__n", "__rows")
-    # fully equal rows share their copies evenly
-    turn = F.row_number().over(W.partitionBy("doc_id", "source", "__tie").orderBy(F.lit(1)))
-    each = F.when(F.col("__rows") == 1, F.col("__n")).otherwise(F.floor(F.col("__n") / F.col("__rows")) + (turn <= F.col("__n") % F.col("__rows")).cast("long"))
-    return joined.withColumn("__each", each).where("__each > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__each"))).alias("__copy")).drop("__copy")
+    joined = left.join(taken, on).select(left["*"], "__n", "__rows")
+    each = F.col("__n")
+    if not taken.where("__rows > 1").isEmpty():  # fully equal rows share their copies
+        turn = F.row_number().over(W.partitionBy("doc_id", "source", "__tie").orderBy(F.lit(1)))
+        each = F.floor(F.col("__n") / F.col("__rows")) + (turn <= F.col("__n") % F.col("__rows")).cast("long")
+    joined = joined.withColumn("__each", each).where("__each > 0")
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__each"))).alias("__copy")).drop("__copy")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, mixing, ngram_join, packing, quality, rules, urls, winnow
+from . import language, licenses, mixing, ngram_join, packing, quality, rules, tokencount, urls, winnow
 
 QUERIES = {
+    "op1_token_counts": tokencount.op1,
     "op2_quality_classifier": quality.op2,
     "op3_quality_rules": rules.op3,
+    "op4_license_scans": licenses.op4,
     "op5_document_fingerprints": winnow.op5,
     "op6_language_id": language.op6,
     "op7_mixing": mixing.op7,
