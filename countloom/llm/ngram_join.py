@@ -15,7 +15,7 @@ inside one pair of texts could matter).  The plan:
    the required overlap.  A pivot's candidates are dealt to groups of bounded expected size.
 5. Only connectivity is asked for, so pairs whose texts are connected already are not verified: each set first meets the
    pivot with which it shares most prefix hashes, and after that only pairs across components do.  Where a hash still has
-   many such pairs its sets take turns as pivots, in doubling numbers, with components made anew in between.  No
+   many such pairs its sets take turns as pivots, in rising numbers, with components made anew in between.  No
    candidate is dropped.
 
 Defined results: null, empty and wordless texts have no n-grams and are linked with nothing; a text with fewer words than an
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,6 +45,8 @@ FREQUENT = 512
 BUCKET = 1 << 20
 #: Expected candidate sets in a group of one pivot.
 GROUP = 256
+#: Up to so many pairs (24 bytes each) are broadcast to the sets; more are joined by a shuffle.
+BROADCAST_PAIRS = 100_000
 #: Pairs across components that a hash may have for each of its sets to be verified at once.
 CROSS = 16
 
@@ -279,9 +281,11 @@ def verify(pairs: DataFrame, stored: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets link; ``stored`` is (id, n, keys)."""
     loads = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     dealt = pairs.join(loads, "a").withColumn("part", F.pmod(F.xxhash64("b"), "groups")).select("a", "part", "b")
-    others = dealt.join(stored, dealt["b"] == stored["id"]).select("a", "part", "b", "n", "keys")
     own = dealt.select("a", "part").distinct()
-    own = own.join(stored, own["a"] == stored["id"]).select("a", "part", F.lit(None).cast("long").alias("b"), "n", "keys")
+    if pairs.count() <= BROADCAST_PAIRS:  # then the sets stay where they are
+        dealt, own = F.broadcast(dealt), F.broadcast(own)
+    others = stored.join(dealt, dealt["b"] == stored["id"]).select("a", "part", "b", "n", "keys")
+    own = stored.join(own, own["a"] == stored["id"]).select("a", "part", F.lit(None).cast("long").alias("b"), "n", "keys")
 
     def run(table: pa.Table) -> pa.Table:
         a, ids, sizes, keys = (table.column(c).to_pylist() for c in ("a", "b", "n", "keys"))
@@ -319,43 +323,63 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(nodes.join(final, "component", "left").select("id", F.coalesce("label", "component").alias("component")), "components")
 
 
+def _can(side: str, other: str) -> Column:
+    """Whether sets whose first common hash has the places ``pos`` can reach the overlap that their sizes ask for."""
+    n, m, p, q = (F.col(c) for c in (f"n_{side}", f"n_{other}", f"pos_{side}", f"pos_{other}"))
+    needed = F.ceil(3 * (n + m) / 7)
+    return (n - p >= needed) & (m - q >= needed)
+
+
 def link(stored: DataFrame) -> DataFrame:
-    """(id, component) of the sets of ``stored`` (id, n, s, keys, prefix)."""
+    """(id, component) of the sets of ``stored`` (id, n, s, keys, prefix).
+
+    ``pos`` is a prefix hash's place in the global order of its set.  If it is the first that two sets share, no more than what
+    follows in either can be common; a pair that can link passes this test at its first common hash.
+    """
     lists = stored.select("id", "n", "keys")
     rank = (-F.col("s") / F.col("n")).alias("rank")
-    posting = stored.select("id", "n", rank, F.explode("prefix").alias("hash"))
-    fits = lambda n, m: 4 * F.least(n, m) >= 3 * F.greatest(n, m)
+    posting = stored.select("id", "n", rank, F.col("n") - F.col("s"), F.posexplode("prefix")).toDF("id", "n", "rank", "alone", "pos", "hash")
+    posting = posting.select("hash", "id", "n", "rank", (F.col("alone") + F.col("pos")).alias("pos"))
+    side = lambda df, x, *more: df.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", *more)])
     # first: each set and the pivot that most of its prefix hashes name
-    best = posting.groupBy("hash").agg(F.min(F.struct("rank", "id", "n")).alias("pivot"), F.count("*").alias("c")).where("c > 1")
-    named = posting.join(best, "hash").where((F.col("pivot.id") != F.col("id")) & fits(F.col("pivot.n"), F.col("n")))
-    named = named.groupBy("id", F.col("pivot.id").alias("a")).agg(F.count("*").alias("c"))
-    first = named.groupBy("id").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", F.col("id").alias("b"))
+    best = posting.groupBy("hash").agg(F.min(F.struct("rank", "id", "n", "pos")).alias("pivot"), F.count("*").alias("c")).where("c > 1")
+    best = best.select("hash", *[F.col(f"pivot.{c}").alias(f"{c}_a") for c in ("id", "n", "pos")])
+    named = side(posting, "b").join(best, "hash").where(F.col("id_a") != F.col("id_b")).where(_can("a", "b"))
+    named = named.groupBy("id_b", "id_a").agg(F.count("*").alias("c"))
+    first = named.groupBy("id_b").agg(F.max_by("id_a", F.struct("c", -F.col("id_a"))).alias("a")).select("a", F.col("id_b").alias("b"))
     nodes = stored.select("id", F.col("id").alias("component"))
     nodes = components(nodes, verify(cut(first, "first"), lists))
     waiting, begin = None, 0
     while True:
+        until = max(CROSS, 4 * begin)
         rows = posting.join(nodes, "id")
         if waiting is not None:
             rows = rows.join(waiting, "hash", "left_semi")
+        # sets that cannot reach the overlap with the smallest fitting set of the hash have no pair there
+        least = rows.groupBy("hash").agg(F.min("n").alias("least"), F.min("component").alias("one"), F.max("component").alias("other"))
+        rows = rows.join(least.where("one <> other").select("hash", "least"), "hash")
+        partner = F.greatest("least", F.ceil(0.75 * F.col("n")))
+        rows = rows.where(F.col("n") - F.col("pos") >= F.ceil(3 * (F.col("n") + partner) / 7)).drop("least")
+        rows = cut(rows, "rows")
         by = rows.groupBy("hash", "component").agg(F.count("*").alias("c"))
         by = by.groupBy("hash").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
         by = cut(by.select("hash", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2 > CROSS * F.col("m")).alias("many")), "cross")
         rows = rows.join(by, "hash")
-        side = lambda df, x: df.select("hash", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), *([F.col("turn").alias(f"t_{x}")] if "turn" in df.columns else []))  # noqa: E731, E501
         few = rows.where("not many")
-        pairs = side(few, "a").join(side(few, "b"), "hash").where("c_a < c_b").where(fits(F.col("n_a"), F.col("n_b"))).select("a", "b")
+        pairs = side(few, "a", "component").join(side(few, "b", "component"), "hash").where("component_a < component_b").where(_can("a", "b"))
+        pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         many = not by.where("many").isEmpty()
         if many:
             turns = rows.where("many").withColumn("turn", F.row_number().over(W.partitionBy("hash").orderBy("rank", "id")))
-            pivots = side(turns.where((F.col("turn") > begin) & (F.col("turn") <= max(1, 2 * begin))), "a")
-            more = pivots.join(side(turns, "b"), "hash").where("c_a <> c_b and t_a < t_b").where(fits(F.col("n_a"), F.col("n_b")))
-            pairs = pairs.union(more.select("a", "b"))
+            pivots = side(turns.where((F.col("turn") > begin) & (F.col("turn") <= until)), "a", "component", "turn")
+            more = pivots.join(side(turns, "b", "component", "turn"), "hash").where("component_a <> component_b and turn_a < turn_b").where(_can("a", "b"))
+            pairs = pairs.union(more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
         pairs = cut(pairs.distinct(), "pairs")
         if not pairs.isEmpty():
             nodes = components(nodes, verify(pairs, lists))
         if not many:
             return nodes
-        begin = max(1, 2 * begin)
+        begin = until
         waiting = by.where(F.col("many") & (F.col("m") > begin)).select("hash")
 
 
