@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import DATA, same_as_sql
+from checks import DATA, same_as_sql
 from countloom.plans.oracles import ORACLES
 from countloom.plans.queries import QUERIES
 
