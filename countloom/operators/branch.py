@@ -105,7 +105,7 @@ def bifurcation_point(ilr: DataFrame, threshold: float = 0.1, cross_only: bool =
     is none.  Without ``cross_only`` the first index from there to the greatest whose ratio is above the threshold."""
     w = W.partitionBy("gene_id").orderBy("grid_idx")
     rows = ilr.withColumn("nxt", F.lead("ilr").over(w))
-    top = rows.groupBy("gene_id").agg(F.max_by("grid_idx", F.struct(F.abs("ilr"), -F.col("grid_idx"))).alias("top"), F.signum(F.sum("ilr")).alias("sign"))
+    top = rows.groupBy("gene_id").agg(F.max_by("grid_idx", F.struct(F.abs("ilr"), -F.col("grid_idx"))).alias("top"), F.signum(F.sum("ilr")).cast("int").alias("sign"))
     rows = rows.join(top, "gene_id").where(F.col("grid_idx") <= F.col("top"))
     cross = F.max(F.when((F.col("ilr") * F.col("nxt") <= 0) & (F.col("grid_idx") < F.col("top")), F.col("grid_idx")))
     found = rows.groupBy("gene_id", "sign").agg(cross.alias("cross"))

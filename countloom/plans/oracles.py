@@ -44,7 +44,7 @@ GATES = """g AS (SELECT cell_id, nation, coalesce(sum(value) FILTER (WHERE gene_
 gt AS (SELECT cell_id, nation, m1 > 30 AS a, m2 > 30 AS b, m3 > 20 AS a1, m4 > 20 AS a2, m5 > 0 AND m1 < 10 AS c FROM g)"""
 TYPE = """CASE WHEN a::INT + b::INT + c::INT = 0 THEN 'Unknown' WHEN a::INT + b::INT + c::INT > 1 THEN 'Ambiguous' WHEN a THEN
   CASE WHEN a1 AND a2 THEN 'Ambiguous' WHEN a1 THEN 'A1' WHEN a2 THEN 'A2' ELSE 'A' END WHEN b THEN 'B' ELSE 'C' END"""
-PANEL = "panel AS (SELECT gene_id FROM genes WHERE brand = 'Brand#11' AND size <= 10)"
+PANEL = "panel AS (SELECT gene_id FROM genes WHERE brand = 'Brand#11')"
 GRID = PANEL + ", grid AS (SELECT gene_id, cell_id, region, coalesce(value, 0) / size_factor AS x FROM (SELECT * FROM panel, cells) LEFT JOIN expr USING (gene_id, cell_id) JOIN sf USING (cell_id))"
 DENS = PAIRS + """, rho AS (SELECT a AS id, round(sum(exp(-(d / 8.0) * (d / 8.0))), 9) AS rho, max(d) AS farthest FROM prs GROUP BY a),
 up AS (SELECT p.a AS id, p.d, p.b, row_number() OVER (PARTITION BY p.a ORDER BY p.d, p.b) AS k FROM prs p JOIN rho x ON x.id = p.a JOIN rho y ON y.id = p.b WHERE y.rho > x.rho OR y.rho = x.rho AND p.b < p.a),
@@ -173,18 +173,18 @@ SELECT gene_id, (max(grid_idx) FILTER (WHERE ilr * nx <= 0 AND grid_idx < top) *
     "violin_data": with_(V1, SF, GRID) + "SELECT gene_id, cell_id, round(greatest(0.1, x), 6) AS expression FROM grid",
     "jitter_mean": with_(V1, SF, GRID) + """, e AS (SELECT gene_id, region, avg(x) AS m, coalesce(stddev_samp(x) / sqrt(count(*)), 0) AS se FROM (SELECT gene_id, region, greatest(0.1, round_even(x, 0)::DOUBLE) AS x FROM grid) GROUP BY ALL)
 SELECT gene_id, region, round(m, 6) AS mean, round(m - 1.96 * se, 6) AS low, round(m + 1.96 * se, 6) AS high FROM e""",
-    "coexpression_pairs": with_(V1) + """, gr AS (SELECT gene_id, cell_id, coalesce(value, 0) AS v FROM (SELECT gene_id, cell_id FROM genes, cells WHERE gene_id <= 9) LEFT JOIN expr USING (gene_id, cell_id))
-SELECT p.cell_id, p.gene_id AS row_gene, p.v AS row_value, q.gene_id AS column_gene, q.v AS column_value FROM gr p JOIN gr q USING (cell_id) WHERE p.gene_id <= 5 AND q.gene_id BETWEEN 6 AND 9 AND (p.v > 0.1 OR q.v > 0.1)""",
+    "coexpression_pairs": with_(V1) + """, gr AS (SELECT gene_id, brand, cell_id, coalesce(value, 0) AS v FROM (SELECT gene_id, brand, cell_id FROM genes, cells WHERE size > 40) LEFT JOIN expr USING (gene_id, cell_id))
+SELECT p.cell_id, p.gene_id AS row_gene, p.v AS row_value, q.gene_id AS column_gene, q.v AS column_value FROM gr p JOIN gr q USING (cell_id) WHERE p.brand = 'Brand#11' AND q.brand = 'Brand#12' AND (p.v > 0.1 OR q.v > 0.1)""",
     "trajectory_edges": with_(TREE, COORDS) + "SELECT parent, child, weight, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM tree LEFT JOIN coords a ON a.vertex = parent LEFT JOIN coords b ON b.vertex = child",
     "full_outer_edges": with_(TREE, COORDS) + "SELECT coalesce(parent, vertex) AS parent, child, x, y FROM tree FULL JOIN coords ON vertex = parent",
     "branch_minmax_pseudotime": with_(BC) + "SELECT cell_id, branch, round(100 * (pseudotime - min(pseudotime) OVER w) / (max(pseudotime) OVER w - min(pseudotime) OVER w), 6) AS pseudotime FROM bc WINDOW w AS (PARTITION BY branch)",
     "rotate_coords": with_(PTS) + "SELECT id, round(x[1] * cos(radians(30)) - x[2] * sin(radians(30)), 6) AS rx, round(x[1] * sin(radians(30)) + x[2] * cos(radians(30)), 6) AS ry FROM pts",
     "heat_matrix": with_(CURVES) + ", hv AS (SELECT gene_id, grid_idx, log10(a + 1) AS v FROM curves) " + HEAT,
     "branched_heat_matrix": with_(CURVES) + ", hv AS (SELECT gene_id, 49 - grid_idx AS grid_idx, log10(a + 1) AS v FROM curves UNION ALL SELECT gene_id, 50 + grid_idx, log10(b + 1) FROM curves) " + HEAT,
-    "pseudotime_lowess": with_(EV) + "SELECT gene_id, cell_id, round(avg(value) OVER (PARTITION BY gene_id ORDER BY pseudotime, cell_id ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING), 4) AS smooth FROM ev",
+    "pseudotime_lowess": with_(EV) + "SELECT gene_id, cell_id, round(avg(value) OVER (PARTITION BY gene_id ORDER BY pseudotime, cell_id ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING), 8) AS smooth FROM ev",
     "rho_delta_plot": with_(DENS) + "SELECT id, round(rho, 5) AS rho, round(delta, 6) AS delta, rho >= 1 AND delta >= 8 AS peak FROM dens",
     "ordering_genes_plot": with_(V1, SF, MOM) + "SELECT gene_id, round(mu, 6) AS mean_expression, size > 25 AS use_for_ordering FROM mom JOIN genes USING (gene_id)",
-    "melt_dcast_roundtrip": with_(V1) + "SELECT gene_id, cell_id::VARCHAR AS cell_id, value FROM expr WHERE cell_id BETWEEN 1 AND 4",
+    "melt_dcast_roundtrip": with_(V1) + "SELECT gene_id, region, sum(value) AS value FROM expr JOIN cells USING (cell_id) GROUP BY ALL",
     "contingency_fraction": with_(V1) + "SELECT region, nation, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY region), 6) AS share FROM cells GROUP BY region, nation",
     "subset_genes_cells": with_(V1) + "SELECT expr.* FROM expr JOIN genes USING (gene_id) JOIN cells USING (cell_id) WHERE brand = 'Brand#11' AND region = 'ASIA'",
     "set_operations": """WITH a AS (SELECT p_brand AS brand, p_type AS type FROM part WHERE p_size < 20), b AS (SELECT p_brand AS brand, p_type AS type FROM part WHERE p_size >= 15)

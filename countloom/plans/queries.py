@@ -41,8 +41,8 @@ def sized(spark: SparkSession, sf: str) -> CountSet:
 
 
 def panel(cs: CountSet) -> DataFrame:
-    """A figure's panel: one brand's small parts."""
-    return cs.genes.where("brand = 'Brand#11' and size <= 10").select("gene_id")
+    """A figure's panel: one brand's parts."""
+    return cs.genes.where("brand = 'Brand#11'").select("gene_id")
 
 
 @query
@@ -376,8 +376,7 @@ def jitter_mean(spark, sf):
 @query
 def coexpression_pairs(spark, sf):
     cs = v1(spark, sf)
-    one = cs.genes.where("gene_id <= 5").select("gene_id")
-    return plotdata.coexpression(cs, one, cs.genes.where("gene_id between 6 and 9").select("gene_id"))
+    return plotdata.coexpression(cs, cs.genes.where("brand = 'Brand#11' and size > 40"), cs.genes.where("brand = 'Brand#12' and size > 40"))
 
 
 def tree_coords(spark, sf) -> DataFrame:
@@ -420,7 +419,7 @@ def branched_heat_matrix(spark, sf):
 
 @query
 def pseudotime_lowess(spark, sf):
-    return plotdata.lowess(views.events(spark, sf)).select("gene_id", "cell_id", r("smooth", 4))
+    return plotdata.lowess(views.events(spark, sf)).select("gene_id", "cell_id", r("smooth", 8))
 
 
 @query
@@ -438,8 +437,10 @@ def ordering_genes_plot(spark, sf):
 
 @query
 def melt_dcast_roundtrip(spark, sf):
-    wide = v1(spark, sf).expr.where("cell_id <= 4").groupBy("gene_id").pivot("cell_id", [1, 2, 3, 4]).sum("value")
-    return wide.unpivot(["gene_id"], ["1", "2", "3", "4"], "cell_id", "value").where("value is not null")
+    cs = v1(spark, sf)
+    regions = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    wide = cs.expr.join(cs.cells.select("cell_id", "region"), "cell_id").groupBy("gene_id").pivot("region", regions).sum("value")
+    return wide.unpivot(["gene_id"], regions, "region", "value").where("value is not null")
 
 
 @query
@@ -527,7 +528,7 @@ def pca_variance(spark, sf):
 
 
 def _embedding(spark, sf) -> tuple[list, np.ndarray]:
-    rows = reduce.scores(views.points(spark, sf), 10).orderBy("id").limit(500).collect()  # a reduced, bounded set of landmarks
+    rows = reduce.scores(views.points(spark, sf), 10).orderBy("id").collect()  # reduced coordinates, as a tree or map of all points needs them together
     return [x["id"] for x in rows], np.array([x["x"] for x in rows]).T
 
 
@@ -589,9 +590,9 @@ def mst_edges(spark, sf):
 @query
 def pq_lineages(spark, sf):
     ids, m = _embedding(spark, sf)
-    m = m[:2, :60]
+    m = m[:2]
     d = np.sqrt(((m[:, :, None] - m[:, None]) ** 2).sum(0))
-    return trajectory.lineage_order(graph.adjacency(graph.spanning_tree(d)), d, 2).table(spark)
+    return trajectory.lineage_order(graph.adjacency(graph.spanning_tree(d)), d, 2, exact=5).table(spark)
 
 
 @query
