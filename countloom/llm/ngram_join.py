@@ -38,7 +38,7 @@ from .common import cut, read
 
 WORDS = 5
 #: A block of documents that a task works on at once.
-BLOCK_DOCS, BLOCK_BYTES = 2048, 4 << 20
+BLOCK_DOCS, BLOCK_BYTES = 2048, 1_000_000
 #: A hash in at least one of so many documents (and a few hundred in all) is held as frequent without a bucket.
 FREQUENT = 512
 #: Expected hashes in a bucket.
@@ -67,7 +67,7 @@ def _tables(n: int) -> dict[str, np.ndarray]:
         rng = np.random.default_rng(2024)
         _TABLES["byte"] = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
         _TABLES["space"] = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-        size, base = max(n, 1 << 20), 0x9E3779B97F4A7C15
+        size, base = 1 << max(20, (n - 1).bit_length()), 0x9E3779B97F4A7C15
         for name, factor in (("power", base), ("inverse", pow(base, -1, 1 << 64))):
             powers = np.ones(size, _U)
             have = 1
