@@ -168,3 +168,46 @@ def batch_residuals(cs: CountSet, factor: str) -> DataFrame:
     moved = means.join(base, "gene_id", "left").select("gene_id", factor, (F.col("m") - F.coalesce("base", F.lit(0.0))).alias("effect"))
     rows = cs.expr.join(cs.cells.select("cell_id", factor), "cell_id").join(moved, ["gene_id", factor])
     return rows.select("gene_id", "cell_id", (F.col("value") - F.col("effect")).alias("value"))
+
+
+def robust_line(x, y, steps: int = 20, k: float = 1.345) -> tuple[float, float]:
+    """Slope and intercept by Huber weights (scale from the median absolute residual)."""
+    import numpy as np
+
+    w = np.ones(len(x))
+    slope, intercept = 0.0, float(np.mean(y)) if len(y) else 0.0
+    for _ in range(steps):
+        a = np.column_stack([x, np.ones(len(x))]) * w[:, None]
+        new = np.linalg.lstsq(a.T @ np.column_stack([x, np.ones(len(x))]), a.T @ y, rcond=None)[0]
+        done = abs(new[0] - slope) + abs(new[1] - intercept) < 1e-10
+        slope, intercept = float(new[0]), float(new[1])
+        r = np.abs(y - slope * x - intercept)
+        scale = np.median(r) / 0.6745
+        if done or scale == 0:
+            break
+        w = np.minimum(1.0, k * scale / np.maximum(r, 1e-300))
+    return slope, intercept
+
+
+def spike_in_lines(cs: CountSet, spikes: DataFrame, volume: float, dilution: float, threshold: float = 0.01430512, floor: float = 1e-10) -> DataFrame:
+    """(cell_id, slope, intercept) of log10 molecules against log10 abundance of the spike-ins (gene_id, concentration) in each cell."""
+    import numpy as np
+    import pandas as pd
+
+    if not 0.01430512 <= threshold <= 7500:
+        raise ValueError("concentration detection limit should be between 0.01430512 and 7500")
+    used = spikes.where(F.col("concentration") >= threshold).select("gene_id", spike_scale(F.col("concentration"), volume, dilution).alias("molecules"))
+    rows = cs.expr.join(F.broadcast(used), "gene_id").where(F.col("value") >= floor)  # a spike-in kit has under a hundred
+    kind = cs.expr.schema["cell_id"].dataType.simpleString()
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        line = robust_line(np.log10(g["value"].to_numpy()), np.log10(g["molecules"].to_numpy())) if len(g) > 1 else (None, None)
+        return pd.DataFrame({"cell_id": [key[0]], "slope": [line[0]], "intercept": [line[1]]})
+
+    return rows.select("cell_id", "value", "molecules").groupBy("cell_id").applyInPandas(run, f"cell_id {kind}, slope double, intercept double")
+
+
+def by_spike_ins(cs: CountSet, lines: DataFrame) -> DataFrame:
+    """Abundances as molecules along each cell's spike-in line."""
+    value = F.pow(F.lit(10.0), F.col("slope") * F.log10("value") + F.col("intercept"))
+    return cs.expr.where("value > 0").join(lines, "cell_id").select("gene_id", "cell_id", value.alias("value"))

@@ -272,3 +272,28 @@ def test_stream_totals(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("totals").collect())) == sorted(map(tuple, incremental.windowed_totals(static).collect()))
+
+
+def test_spike_ins_recover_the_line(spark):
+    rng = np.random.default_rng(4)
+    conc = np.array([1.0, 4.0, 16.0, 64.0, 256.0, 1024.0])
+    molecules = conc * 10 * 1e-3 / 40000 * 1e-18 * 6.02214129e23
+    values = {f"s{i}": (m * 2.0 * (1 + rng.normal(0, 0.01, 3))).tolist() for i, m in enumerate(molecules)}
+    values["s2"][0] *= 50  # an outlier
+    cs = counts(spark, values)
+    spikes = spark.createDataFrame([(f"s{i}", float(c)) for i, c in enumerate(conc)], "gene_id string, concentration double")
+    lines = normalize.spike_in_lines(cs, spikes, 10, 40000)
+    for r in lines.collect():
+        assert abs(r["slope"] - 1) < 0.08 and abs(r["intercept"] + math.log10(2)) < 0.2
+    assert normalize.by_spike_ins(cs, lines).count() == 18
+    with pytest.raises(ValueError, match="between"):
+        normalize.spike_in_lines(cs, spikes, 10, 40000, threshold=9000)
+
+
+def test_marker_test(spark):
+    cs = counts(spark, {"m": [2, 0, 3, 0, 5, 0], "n": [0, 5, 0, 2, 0, 4], "x": [9, 1, 8, 2, 9, 1]})
+    cs = normalize.with_size_factors(cs)
+    h = typing.Hierarchy().add("M", lambda x: x["m"] >= 1).add("N", lambda x: x["n"] >= 1)
+    closed = {r["gene_id"]: r["lr"] for r in typing.marker_test(cs, h, Curve(0.1, 1.0)).collect()}
+    fitted = {r["gene_id"]: r["lr"] for r in typing.marker_test(cs, h, Curve(0.1, 1.0), "~half").collect()}
+    assert set(closed) == set(fitted) == {"m", "n", "x"} and closed["x"] > 1
