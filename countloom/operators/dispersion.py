@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import CountSet
 from ..functions.stats import round_half_even
+from ..store import cut
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,7 @@ def fit_curve(table: DataFrame, most: int = 11, remove_outliers: bool = True) ->
     1e-6 or above 1e4 times the current curve are left out of a step.  Then genes with a large Cook's distance are removed and
     the fit is made once more.
     """
-    table = table.where("disp > 0").select("mu", "disp")
+    table = cut(table.where("disp > 0").select("mu", "disp"))  # two numbers a gene, read by every step
 
     def steps(rows: DataFrame, a: float, e: float) -> tuple[float, float]:
         for _ in range(most):
