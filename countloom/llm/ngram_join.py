@@ -39,7 +39,8 @@ from .common import cut, read
 WORDS = 5
 #: A block of documents that a task works on at once.
 BLOCK_DOCS, BLOCK_BYTES = 2048, 1_000_000
-#: A hash in at least one of so many documents (and a few hundred in all) is held as frequent without a bucket.
+#: A hash that blocks with at least ``BLOCK_DOCS // FREQUENT`` sets of it have in one of so many documents (and in 200) is held
+#: as frequent without a bucket.
 FREQUENT = 512
 #: Expected hashes in a bucket.
 BUCKET = 1 << 20
@@ -163,6 +164,7 @@ def shared(docs: DataFrame, frequent: np.ndarray, bits: int, n: int = WORDS) ->
 
     Hashes keep 48 bits here, of which the first ``bits`` (at least 8) are the bucket.  Rows of step one: bucket, block,
     counts (16 bits a document), packed hashes.  A block's digests, sizes and frequent hashes take a bucket of its own.
+    Blocks are consecutive rows of a partition, so ``docs`` should be read from files, where a repeated task sees the same order.
     """
     known = docs.sparkSession.sparkContext.broadcast(frequent)
     rest = 48 - bits
