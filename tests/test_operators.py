@@ -297,3 +297,10 @@ def test_marker_test(spark):
     closed = {r["gene_id"]: r["lr"] for r in typing.marker_test(cs, h, Curve(0.1, 1.0)).collect()}
     fitted = {r["gene_id"]: r["lr"] for r in typing.marker_test(cs, h, Curve(0.1, 1.0), "~half").collect()}
     assert set(closed) == set(fitted) == {"m", "n", "x"} and closed["x"] > 1
+
+
+def test_inverse_embedding_keeps_the_scale():
+    raw = np.random.default_rng(8).gamma(2.0, 3.0, (4, 50))
+    fit = reduce.principal_tree(raw, 2, 10)
+    x = reduce.inverse(fit["W"], fit["Z"], raw)
+    assert x.shape == raw.shape and x.min() >= 0 and np.allclose(x.max(1), np.quantile(raw, 0.99, axis=1))
