@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from countloom.llm import mixing, ngram_join, packing, quality, rules
 from countloom.llm.common import cut, read
 
+#: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no rule of the policy."""
@@ -24,7 +28,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id."""
     found = cut(ngram_join.join(docs), "near_duplicates")
-    staying = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    leaving = found.where("doc_id <> component_id").select("doc_id").distinct()
+    if leaving.count() <= BROADCAST_IDS:
+        leaving = F.broadcast(leaving)  # then no text is moved
+    staying = docs.join(leaving, "doc_id", "left_anti")
     kept = found.where("doc_id = component_id").select("doc_id")
     if kept.count() > kept.distinct().count():  # rows that share an id
         staying = staying.dropDuplicates(["doc_id"])

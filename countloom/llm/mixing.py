@@ -108,7 +108,8 @@ def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
     taken = cut(taken.where("__n > 0"), "taken")
     left = docs.withColumn("__tie", F.xxhash64("text"))
     on = left["doc_id"].eqNullSafe(taken["doc_id"]) & left["source"].eqNullSafe(taken["source"]) & (left["__tie"] == taken["tie"])
-    joined = left.join(taken, on).select(left["*"], "__n", "__rows")
+    # about as many rows as documents: always a shuffle, so the plan is the same at every size
+    joined = left.join(taken.hint("merge"), on).select(left["*"], "__n", "__rows")
     each = F.col("__n")
     if not taken.where("__rows > 1").isEmpty():  # fully equal rows share their copies
         turn = F.row_number().over(W.partitionBy("doc_id", "source", "__tie").orderBy(F.lit(1)))
