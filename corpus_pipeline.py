@@ -25,17 +25,44 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.keep(docs, model)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids``, broadcast where they are few: then no text is moved."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``_key`` of id and text, which no two different pairs of them share."""
+    salt = 0
+    while True:
+        key = F.xxhash64(F.lit(salt), F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+        keyed = docs.withColumn("_key", key)
+        pairs = keyed.select("_key", "doc_id", F.md5("text").alias("text")).distinct()
+        if pairs.groupBy("_key").count().where("count > 1").isEmpty():
+            return keyed
+        salt += 1
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id."""
-    found = cut(ngram_join.join(docs), "near_duplicates")
-    leaving = found.where("doc_id <> component_id").select("doc_id").distinct()
-    if leaving.count() <= BROADCAST_IDS:
-        leaving = F.broadcast(leaving)  # then no text is moved
-    staying = docs.join(leaving, "doc_id", "left_anti")
-    kept = found.where("doc_id = component_id").select("doc_id")
-    if kept.count() > kept.distinct().count():  # rows that share an id
-        staying = staying.dropDuplicates(["doc_id"])
-    return staying.select(*docs.columns)
+    """Of each group of linked documents the one with the least id.
+
+    Rows are told apart by id and text where ids are null or repeated: such rows leave only for a text that theirs is linked
+    with.  Of equal rows one stays (those without id and words are linked with nothing and all stay).
+    """
+    repeated = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if repeated.isEmpty():
+        found = cut(ngram_join.join(docs), "near_duplicates")
+        leaving = found.where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(_few(leaving), "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    found = ngram_join.join(keyed.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key")
+    found = found.groupBy("_key", "component_id").agg(F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
+    found = cut(found.join(keyed.select("_key", "doc_id").distinct(), "_key"), "near_duplicates")
+    least = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("least"))
+    leaving = found.join(least, "component_id").where(F.col("_key") != F.col("least._key")).select("_key")
+    staying = keyed.join(_few(leaving), "_key", "left_anti")
+    equal = _few(found.where("rows > 1 and (n > 0 or doc_id is not null)").select("_key"))
+    once = staying.join(equal, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return staying.join(equal, "_key", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,20 @@ def test_empty_and_awkward_documents(spark):
             out = cut(stage(spark, out, SMALL))
         assert set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"} and out.where("doc_id < 3").count() == 0
     assert table("documents").shape[0] > 0
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [
+        (5, text("a")), (5, text("b")),  # an id twice, texts that are not linked
+        (3, text("c")), (7, text("c") + " end"), (7, text("d")),  # one of two rows with id 7 is linked to a smaller id
+        (None, text("e")), (None, text("f")), (None, text("f") + " end"), (None, text("c")),  # linked with each other, and with 3
+        (9, text("g")), (9, text("g")), (None, None), (None, ""), (11, text("h")),
+    ]
+    want = Counter(r for r in rows if r[1] not in (text("c") + " end", text("f"), text("f") + " end") and r != (None, text("c")))
+    want[9, text("g")] = 1
+    docs = spark.createDataFrame([(*r, "a") for r in rows], "doc_id long, text string, source string")
+    out = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    f = [got.pop((None, text("f") + end), 0) for end in ("", " end")]
+    assert sorted(f) == [0, 1] and got == want
