@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter has one cell per hash position and in each cell one bit per language, so the AND of an n-gram's
-cells is the set of all languages that contain it.  Over a text's n-grams the bits are counted by language; the counts are
+A bit-sliced Bloom filter has one cell per hash position and in each cell one bit per language (as many words of ``WORD`` bits
+as the languages need), so the AND of an n-gram's cells is the set of all languages that contain it.  Over a text's n-grams the bits are counted by language; the counts are
 corrected for each language's false-positive rate, and the largest decides.
 
 The filter holds the ``PROFILE`` most frequent n-grams of each language, learned from at most ``FIT_ROWS`` labelled rows a
@@ -29,7 +29,8 @@ from .common import held_out, read
 FIT_ROWS = 800
 FIT_CHARS = 20_000
 PROFILE = 3000
-LANGUAGES = 64
+#: Languages in a word of a cell.
+WORD = 64
 CELLS = 1 << 18
 HASHES = 3
 SIZES = (2, 3, 4)
@@ -84,14 +85,15 @@ def _grams(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     languages: tuple[str, ...]
     fallback: int
-    cells: np.ndarray  # uint64 masks
+    cells: np.ndarray  # uint64 masks, a row for each ``WORD`` languages
     false_rate: np.ndarray
 
-    def masks(self, hashes: np.ndarray) -> np.ndarray:
+    def masks(self, hashes: np.ndarray, word: int = 0) -> np.ndarray:
+        """Which languages of a word have each hash."""
         first, *rest = _positions(hashes)
-        out = self.cells[first]
+        out = self.cells[word][first]
         for p in rest:
-            out &= self.cells[p]
+            out &= self.cells[word][p]
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -103,9 +105,10 @@ class Model:
         text_of = np.append(np.repeat(np.arange(len(texts)), np.diff(starts)), len(texts) - 1)
         for n in SIZES:
             hashes, at = _grams(codes, n)
-            masks, own = self.masks(hashes), text_of[at]
+            own = text_of[at]
             for k in range(0, len(self.languages), 8):  # eight languages at once: texts by combination of bits
-                some = ((masks >> np.uint64(k)) & np.uint64(255)).astype(np.int64)
+                masks = masks if k % WORD else self.masks(hashes, k // WORD)
+                some = ((masks >> np.uint64(k % WORD)) & np.uint64(255)).astype(np.int64)
                 by = np.bincount(own * 256 + some, minlength=256 * len(texts)).reshape(-1, 256)
                 found[:, k : k + 8] += (by @ _BITS)[:, : len(self.languages) - k]
                 total += by.sum(1) if not k else 0
@@ -126,32 +129,42 @@ def _positions(hashes: np.ndarray) -> list[np.ndarray]:
     return [((low + np.uint64(k) * high) & np.uint64(CELLS - 1)).astype(np.int64) for k in range(HASHES)]
 
 
+def profile(texts: list[str]) -> list[int]:
+    """The ``PROFILE`` n-grams that most of a language's texts have."""
+    counted: dict[int, int] = {}
+    for at in range(0, len(texts), 64):
+        codes, starts = _codes(texts[at : at + 64])
+        for n in SIZES:
+            hashes, where = _grams(codes, n)
+            own = np.searchsorted(starts, where, "right")
+            # documents that have the n-gram: a text that repeats itself weighs no more than others
+            order = np.lexsort((hashes, own))
+            hashes, own = hashes[order], own[order]
+            hashes = hashes[np.append(True, (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1]))[: len(hashes)]]
+            for h, c in zip(*(x.tolist() for x in np.unique(hashes, return_counts=True))):
+                counted[h] = counted.get(h, 0) + c
+    return sorted(counted, key=lambda h: (-counted[h], h))[:PROFILE]
+
+
+def build(profiles: list[tuple[str, int, np.ndarray]]) -> Model:
+    """From (language, texts, n-grams), in the order of languages."""
+    cells = np.zeros((max(1, -(-len(profiles) // WORD)), CELLS), np.uint64)
+    fill = np.zeros(len(profiles))
+    for k, (_, _, top) in enumerate(profiles):
+        word, bit = cells[k // WORD], np.uint64(k % WORD)
+        for p in _positions(top):
+            np.bitwise_or.at(word, p, np.uint64(1) << bit)
+        fill[k] = ((word >> bit) & np.uint64(1)).mean()
+    counts = [n for _, n, _ in profiles]
+    return Model(tuple(lang for lang, _, _ in profiles), int(np.argmax(counts)) if counts else 0, cells, fill**HASHES)
+
+
 def train(rows: list[tuple[str, str]]) -> Model:
     """From (text, language) rows."""
-    languages = sorted({lang for _, lang in rows})
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"at most {LANGUAGES} languages fit a mask")
-    cells = np.zeros(CELLS, np.uint64)
-    for k, lang in enumerate(languages):
-        texts = [t for t, x in rows if x == lang]
-        profile: dict[int, int] = {}
-        for at in range(0, len(texts), 64):
-            codes, starts = _codes(texts[at : at + 64])
-            for n in SIZES:
-                hashes, where = _grams(codes, n)
-                own = np.searchsorted(starts, where, "right")
-                # documents that have the n-gram: a text that repeats itself weighs no more than others
-                order = np.lexsort((hashes, own))
-                hashes, own = hashes[order], own[order]
-                hashes = hashes[np.append(True, (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1]))[: len(hashes)]]
-                for h, c in zip(*(x.tolist() for x in np.unique(hashes, return_counts=True))):
-                    profile[h] = profile.get(h, 0) + c
-        top = sorted(profile, key=lambda h: (-profile[h], h))[:PROFILE]
-        for p in _positions(np.array(top, np.uint64)):
-            np.bitwise_or.at(cells, p, np.uint64(1 << k))
-    fill = np.array([((cells >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))])
-    counts = [sum(x == lang for _, x in rows) for lang in languages]
-    return Model(tuple(languages), int(np.argmax(counts)) if counts else 0, cells, fill**HASHES)
+    by: dict[str, list[str]] = {}
+    for text, lang in rows:
+        by.setdefault(lang, []).append(text)
+    return build([(lang, len(by[lang]), np.array(profile(by[lang]), np.uint64)) for lang in sorted(by)])
 
 
 def fit(docs: DataFrame) -> Model:
@@ -162,14 +175,21 @@ def fit(docs: DataFrame) -> Model:
     for within in (["lang", "part"], ["lang"]):  # the first rows of each part of a language, then of the language
         turn = F.row_number().over(W.partitionBy(*within).orderBy(*order))
         ids = ids.withColumn("turn", turn).where(F.col("turn") <= FIT_ROWS)
-    chosen = ids.select("doc_id", "lang").distinct()  # at most LANGUAGES * FIT_ROWS ids
-    rows = marked.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang").orderBy("lang", F.xxhash64("text"), "text").collect()
-    return train([(r["text"], r["lang"]) for r in rows])
+    chosen = ids.select("doc_id", "lang").distinct()  # at most FIT_ROWS ids a language
+    rows = marked.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang")
+
+    def profiled(table: pa.Table) -> pa.Table:  # one language, at most FIT_ROWS texts but for repeated ids
+        texts = table.column("text").to_pylist()
+        top = np.array(profile(texts), np.uint64).tobytes()
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()], pa.string()), "n": pa.array([len(texts)], pa.int64()), "top": pa.array([top], pa.binary())})
+
+    found = rows.groupBy("lang").applyInArrow(profiled, "lang string, n long, top binary").collect()  # PROFILE hashes a language
+    return build(sorted(((r["lang"], r["n"], np.frombuffer(r["top"], np.uint64)) for r in found), key=lambda x: x[0]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every text of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS masks: 2 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS masks: 2 MB for each WORD languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -228,6 +228,20 @@ def test_masks_hold_every_language_of_a_gram():
     assert model.predict(["abd", "xyz", "123", "qqqq"])[0] == ["x", "y", "und", "x"]
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{k:03d}" for k in range(150)]  # the words of a language are over three letters of its own
+    word = lambda k, i: "".join((letters[k % 26], letters[k // 26 + 7 * (i % 3)], letters[(k * 5 + i) % 26]))
+    texts = [" ".join(word(k, i) for i in range(6)) for k in range(150)]
+    docs = spark.createDataFrame([(10 * k + j, texts[k], names[k]) for k in range(150) for j in range(10)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert list(model.languages) == names and len(model.cells) == 3
+    got = language.predict(docs, model).toPandas().merge(docs.toPandas(), on="doc_id")
+    assert len(got) == 1500 and (got["lang_pred"] == got["lang"]).all()
+    few = language.train([(t, n) for t, n in zip(texts, names)][:64])
+    assert few.cells.shape == (1, language.CELLS)
+
+
 # 7 mixing
 
 
