@@ -1,15 +1,18 @@
 """License scans (native: DataFrame functions only).
 
-A paragraph (line) is classified by a sparse word n-gram logistic regression over licence families and ``none``.  The model is
+A paragraph is a line or several consecutive lines with words, joined: from every line on, as many as it takes to have the words
+of the longest notice, so a notice may be wrapped anywhere.  It is classified by a sparse word n-gram logistic regression over licence families and ``none``.  The model is
 trained on the driver from short notices of each family and background sentences; its features are the word uni- and bigrams of
 the notices, so a paragraph without any of them is ``none`` without being scored.  Scoring looks the weights up in constant
 arrays.  A family is reported where its probability is at least ``SURE`` and the comparison with the family's notices (share of
 a notice's bigrams found in the paragraph) reaches ``CONFIRM``; otherwise a paragraph that is not ``none`` is ``unknown``.
-Both thresholds are calibrated in ``train`` on notices of families that the model has not seen: at ``SURE`` none of them is named,
-and a paragraph is not ``none`` where the families together have a probability between theirs and that of the background.
+Of paragraphs that overlap the best counts (families before ``unknown``, then the score, then the shorter one), lines that are
+notices by themselves join no others, and paragraphs of one family without a line between them count as one.  Both thresholds are calibrated in ``train`` on notices of families that the model has not seen: at ``SURE`` none of them is named,
+and a paragraph is not ``none`` where the families together have a probability between that of the background and the next one of
+theirs.
 
 Defined results: null and empty texts have no licence (``none``, score 0, no paragraphs); very long texts are scanned whole;
-repeated rows get equal results; among equal scores the first paragraph counts; an empty table gives an empty result; extra
+repeated rows get equal results; a paragraph is numbered by its first line; among equal scores the first paragraph counts; an empty table gives an empty result; extra
 columns pass through ``scan`` unless they bear the name of a result, which then replaces them.
 """
 
@@ -67,6 +70,13 @@ NOTICES = {
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     ],
 }
+#: Identifiers by family, for lines that declare a licence.
+IDENTIFIERS = {
+    "MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "GPL-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"], "BSD": ["BSD-3-Clause", "BSD-2-Clause"],
+    "MPL-2.0": ["MPL-2.0"], "CC-BY-4.0": ["CC-BY-4.0"], "CC-BY-SA-4.0": ["CC-BY-SA-4.0"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"], "CC0-1.0": ["CC0-1.0"],
+}
+for _family, _names in IDENTIFIERS.items():
+    NOTICES[_family] += [f"{sign}: {name}" for name in _names for sign in ("SPDX-License-Identifier", "License")]
 #: Sentences of no licence that share words with the notices.
 BACKGROUND = [
     "The driver lost his license last year and may not use the car.",
@@ -82,6 +92,15 @@ BACKGROUND = [
     "A copy of this source was found under the table.",
     "To the extent possible we follow the law and related rights.",
     "This is the work of many, with the code of the public.",
+    "She applied for a fishing license yesterday.",
+    "A license costs ten coins.",
+    "No license was needed.",
+    "License plates are yellow here.",
+    "Licensed doctors met in town.",
+    "Wir fahren mit dem Zug in die Stadt.",
+    "Mit ihm kam der Regen.",
+    "Er wohnt mit uns.",
+    "MIT is a university.",
 ]
 #: Notices of families that the model does not know, for the calibration of the unknown class.
 STRANGE = [
@@ -89,18 +108,22 @@ STRANGE = [
     "Released under the Acme Research License.",
     "This work is licensed under the Ministry of Maps data terms.",
     "Use of this dataset is subject to the Northwind license agreement.",
+    "SPDX-License-Identifier: EUPL-1.2",
+    "License: EUPL",
 ]
 FAMILIES = [*NOTICES, "none"]
-TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*:?"
 CONFIRM = 0.6
-#: Only paragraphs with one of these words can be a notice of an unknown family.
-CUE = "licen[cs]ed? |licen[cs]e[.,]|licen[cs]e$|copyright|rights reserved|public domain"
 
 
 def tokens_of(text: str) -> list[str]:
     return re.findall(TOKEN, text.lower())
 
 
+#: Words of the longest notice; so many lines at most are joined, as each has a word.
+LONGEST = max(len(tokens_of(n)) for ns in NOTICES.values() for n in ns)
+
+
 def grams_of(text: str) -> list[str]:
     t = tokens_of(text)
     return sorted({*t, *(f"{a} {b}" for a, b in zip(t, t[1:]))})
@@ -141,7 +164,8 @@ def train() -> tuple[list[str], np.ndarray, np.ndarray, float, float]:
 
     strange, plain = [probabilities(t) for t in STRANGE], [probabilities(t) for t in BACKGROUND]
     sure = min(0.9, max(0.5, max(p[:none].max() for p in strange) + 0.01))
-    least = (min(1 - p[none] for p in strange) + max(1 - p[none] for p in plain)) / 2
+    floor = max(1 - p[none] for p in plain)  # no background sentence is a licence
+    least = (min(1 - p[none] for p in strange if 1 - p[none] > floor) + floor) / 2
     return features, np.round(w, 4), np.round(b, 4), sure, least
 
 
@@ -190,22 +214,80 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     none = len(FAMILIES) - 1
     # every notice has one of these words, and none of the background features alone decides for a family
     telling = "(?i)licen[cs]|copyright|public|permission|redistribut|\\bMIT\\b|GPL|\\bBSD\\b|\\bCC\\b|CC0|creative commons"
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i"))), lambda x: x["line"].rlike(telling))
+    n_words = lambda x: F.size(F.regexp_extract_all(F.lower(x), F.lit(f"({TOKEN})")))
+    numbered = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i"), i.alias("last")))
+    lines = F.when(F.col(text).rlike(telling), numbered).otherwise(F.slice(numbered, 1, 0))
 
     def judged(x: Column) -> Column:
         def of(y: Column) -> Column:
             like = F.get(y["like"], y["best"]["family"])
             named = (y["best"]["family"] != none) & (y["best"]["p"] >= sure) & (like >= CONFIRM)
-            cue = F.lower(x["line"]).rlike(CUE)
-            name = F.when(named, F.get(names, y["best"]["family"])).when((y["best"]["any"] >= least) & cue, F.lit("unknown")).otherwise("none")
-            return F.struct(y["best"]["p"].alias("score"), (-x["i"]).alias("at"), name.alias("name"))
+            name = F.when(named, F.get(names, y["best"]["family"])).when(y["best"]["any"] >= least, F.lit("unknown")).otherwise("none")
+            return F.struct(named.alias("named"), y["best"]["p"].alias("score"), (-x["i"]).alias("at"), (-x["last"]).alias("until"), name.alias("name"))
 
         return let(F.struct(_probabilities(x["line"]).alias("best"), _likeness(x["line"]).alias("like")), of)
 
+    def all_judged(x: Column) -> Column:
+        return F.filter(F.transform(F.filter(x, lambda y: y["line"].rlike(telling)), judged), lambda y: y["name"] != "none")
+
+    def joined(rows: Column) -> Column:
+        """The paragraphs of two lines or more that begin with the first of ``rows``."""
+        first = rows[0]
+        out = F.slice(F.array(F.struct(first["line"].alias("line"), first["i"].alias("i"), first["last"].alias("last"))), 1, 0)
+        start = F.struct(first["line"].alias("line"), first["words"].alias("n"), ((first["words"] > 0) & (first["words"] < LONGEST)).alias("open"), out.alias("out"))
+
+        def add(acc: Column, x: Column) -> Column:
+            more = F.concat(acc["line"], F.lit(" "), x["line"])
+            n = acc["n"] + x["words"]
+            grown = F.struct(more.alias("line"), n.alias("n"), (n < LONGEST).alias("open"), F.concat(acc["out"], F.array(F.struct(more.alias("line"), first["i"].alias("i"), x["i"].alias("last")))).alias("out"))
+            closed = F.struct(acc["line"].alias("line"), acc["n"].alias("n"), F.lit(False).alias("open"), acc["out"].alias("out"))
+            return F.when(acc["open"] & (x["words"] > 0), grown).otherwise(closed)
+
+        return F.aggregate(F.slice(rows, 2, LONGEST), start, add, lambda acc: acc["out"])
+
+    def over_lines(single: Column, all_lines: Column) -> Column:
+        """The paragraphs of two lines or more that are a notice."""
+        taken = F.transform(F.filter(single, lambda y: y["named"]), lambda y: -y["at"])
+
+        def of(x: Column) -> Column:
+            near = lambda i: F.slice(x, i + 1, LONGEST)
+            begin = F.filter(x, lambda y: (y["words"] > 0) & F.exists(near(y["i"]), lambda z: z["told"]))
+            return F.flatten(F.transform(begin, lambda y: let(near(y["i"]), lambda rows: all_judged(joined(rows)))))
+
+        counted = F.transform(
+            all_lines,
+            lambda y: F.struct(y["line"], y["i"], y["last"], F.when(F.array_contains(taken, y["i"]), 0).otherwise(n_words(y["line"])).alias("words"), y["line"].rlike(telling).alias("told")),
+        )
+        return let(counted, of)
+
+    def apart(found: Column) -> Column:
+        """The best ones of those that overlap, touching ones of one family as one; ``found`` is in the order of lines."""
+
+        def add(acc: Column, x: Column) -> Column:
+            last = F.get(acc, F.size(acc) - 1)
+            but_last = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+            shorter = x["at"] - x["until"] < last["at"] - last["until"]
+            equal = F.when(x["named"], (x["score"] > last["score"]) | ((x["score"] == last["score"]) & shorter)).otherwise(shorter)
+            better = (x["named"] & ~last["named"]) | ((x["named"] == last["named"]) & equal)
+            whole = F.struct(last["at"].alias("at"), x["until"].alias("until"), x["named"].alias("named"), F.greatest(last["score"], x["score"]).alias("score"), x["name"].alias("name"))
+            return (
+                F.when((F.size(acc) > 0) & (last["until"] - 1 == x["at"]) & (last["name"] == x["name"]) & x["named"], F.concat(but_last, F.array(whole)))
+                .when((F.size(acc) == 0) | (last["until"] > x["at"]), F.concat(acc, F.array(x)))
+                .when(better, F.concat(but_last, F.array(x)))
+                .otherwise(acc)
+            )
+
+        return F.aggregate(found, F.slice(found, 1, 0), add)
+
+    def in_order(found: Column) -> Column:
+        return F.reverse(F.array_sort(F.transform(found, lambda y: F.struct(y["at"], y["until"], y["named"], y["score"], y["name"]))))
+
     results = ("licence", "licence_score", "licence_paragraph", "n_licence_paragraphs")
-    found = F.filter(F.transform(lines, judged), lambda x: x["name"] != "none")
+    every = let(lines, lambda x: let(all_judged(x), lambda single: in_order(F.concat(single, over_lines(single, x)))))
+    found = let(every, apart)
 
     def summed(x: Column) -> Column:
+        x = F.transform(x, lambda y: F.struct(y["score"], y["at"], y["name"]))
         best = F.array_max(F.filter(x, lambda y: y["name"] != "unknown"))
         top = F.coalesce(best, F.array_max(x))
         return F.struct(

@@ -152,6 +152,27 @@ def test_licences(spark, awkward, nothing):
     assert {r["licence"] for r in licenses.scan(awkward).collect()} == {"none"} and licenses.scan(nothing).count() == 0
 
 
+def test_wrapped_and_declared_licences(spark):
+    cases = []
+    for family, notices in licenses.NOTICES.items():
+        for notice in notices:
+            words = notice.split()
+            for width in (1, 2, 3, 5, 8, 11):
+                lines = [" ".join(words[k : k + width]) for k in range(0, len(words), width)]
+                cases += [(family, 2, "\n".join(["Some words.", "", *lines, "", "More words."]))]
+            cases.append((family, 2, "\n".join([" *", " * ", *(f" * {w}" for w in lines), " */"])))
+    cases += [("BSD", 1, "\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:")]
+    cases += [("MIT", 0, "SPDX-License-Identifier: MIT"), ("unknown", 0, "License: EUPL"), ("unknown", 1, "text\nSPDX-License-Identifier: EUPL-1.2")]
+    cases += [("none", None, "Er geht mit der Zeit."), ("none", None, "He has a fishing license.\nShe has none."), ("none", None, "Redistribution is a word\n\nof the general\npublic")]
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(cases)], "doc_id int, text string")
+    got = {r["doc_id"]: (r["licence"], r["licence_paragraph"], r["n_licence_paragraphs"]) for r in licenses.scan(df).collect()}
+    wrong = [(got[i], c) for i, c in enumerate(cases) if (got[i][0], got[i][2]) != (c[0], int(c[0] != "none"))]
+    assert not wrong, [(g, c[0], c[2][:60]) for g, c in wrong[:12]]
+    # a long notice may be clearest without its first lines
+    wrong = [(got[i], c) for i, c in enumerate(cases) if c[0] != "none" and not c[1] <= got[i][1] <= c[1] + 4]
+    assert not wrong, [(g, c[0], c[2][:60]) for g, c in wrong[:12]]
+
+
 # 5 fingerprints
 
 
