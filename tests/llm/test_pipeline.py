@@ -7,7 +7,7 @@ from collections import Counter
 import corpus_pipeline
 from countloom.llm import mixing, quality
 from countloom.llm.common import cut, read
-from test_operators import SMALL, brute_join, brute_rules, brute_targets, check_slots, table
+from test_llm_operators import SMALL, brute_join, brute_rules, brute_targets, check_slots, table
 
 def plain_rules(docs):
     out = []
@@ -52,7 +52,7 @@ def test_stages(spark):
         elif k == 1:
             kept = [r for r in kept if of((r["text"] or "").encode()) >= 0.5]
         elif k == 2:
-            top = {i: c for i, _, c in brute_join([(r["doc_id"], r["text"]) for r in kept])}
+            top = {i: c for i, _, c in brute_join([(r["doc_id"], r["text"]) for r in kept])}  # ids are distinct here
             kept = [r for r in kept if top[r["doc_id"]] == r["doc_id"]]
         elif k == 3:
             copies = plain_mix(kept)
