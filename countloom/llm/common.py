@@ -45,6 +45,11 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, each: int, least: int = 16) -> DataFrame:
+    """``df`` in one partition for each ``each`` of ``rows`` rows, ``least`` at least, where a shuffle has left more (no new shuffle)."""
+    return df.coalesce(max(least, -(-rows // each)))
+
+
 def unit(*parts: Column) -> Column:
     """A deterministic number in (0, 1), uniform over distinct inputs: the first 13 hex digits (52 bits) of an md5, which other SQL engines compute alike."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

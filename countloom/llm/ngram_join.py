@@ -3,24 +3,26 @@
 Every text is the set of its distinct word n-grams (64-bit hashes; sets are compared pair by pair, so only collisions
 inside one pair of texts could matter).  The plan:
 
-1. ``sets``: one pass gives each document its set size and a digest of its set.  Equal sets form a class.
+1. ``sets``: one pass gives each document its set size and a digest of its set.  Equal sets form a class, which has a number.
 2. ``shared``: a second pass deals the hashes to buckets as packed bytes (one set per class and block of documents).  A
    bucket knows how many sets have each hash and sends back those that at least two have.  Hashes that a
-   noticeable part of all documents has skip the buckets: they are found from block counts and count as the most frequent.
-3. The global order is (number of sets, hash); hashes that one set alone has come first and cannot match.  A set can only
-   link if at least 75 % of it is shared, and two sets can only link if the first ``n - ceil(0.75 n) + 1`` hashes of each
-   have one in common.
-4. ``verify``: candidates of a pivot set are sorted in the global order, which is a walk through their prefix tree: the
-   overlap of a common path is counted once, and a subtree is left when what remains of either set cannot reach
-   the required overlap.  A pivot's candidates are dealt to groups of bounded expected size.
-5. Only connectivity is asked for, so pairs whose texts are connected already are not verified: each set first meets the
-   pivot with which it shares most prefix hashes, and after that only pairs across components do.  Where a hash still has
-   many such pairs its sets take turns as pivots, in rising numbers, with components made anew in between.  No
-   candidate is dropped.
+   noticeable part of all documents has skip the buckets: they are found from block counts.
+3. The global order is (frequency, on a scale of 8 bits; hash); hashes that one set alone has come first and cannot match.  A
+   set can only link if at least 75 % of it is shared, and two sets can only link if the first ``n - ceil(0.75 n) + 1`` hashes
+   of each have one in common: these hashes tell which trees a set belongs to.
+4. ``PrefixTree``: the ordered sets of a group are stored in a prefix tree (arrays of first child, next sibling, run of keys,
+   least and greatest set size).  A set is joined with the whole tree in one walk: the overlap of a path is counted once for all
+   sets below it, and a subtree is left where what remains of it or of the query cannot reach the overlap that the
+   subtree's least size asks for.  Every link comes from such a walk.
+5. Only connectivity is asked for, so sets that are connected already are not joined again: each set first goes into the tree of
+   the pivot that most of its prefix hashes name, where all sets are joined with all; after that only sets of different
+   components meet, those of a much shared hash in turns (a rising share of them as pivots, by a hash of their number), with
+   components made anew in between.  No candidate is dropped.
 
 Defined results: null, empty and wordless texts have no n-grams and are linked with nothing; a text with fewer words than an
-n-gram is one n-gram; equal texts are linked (unless empty); repeated rows are each returned; rows that share an id count as
-one document for linking; an empty table gives an empty result; extra columns are ignored.
+n-gram is one n-gram; equal texts are linked (unless empty); every row is a document of its own and returned once, also where
+ids are null or repeated, and a row's component is that of its text: the smallest id of all rows reachable from it (null where none
+of them has an id); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +33,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, sized
 
 WORDS = 5
 #: A block of documents that a task works on at once.
@@ -44,12 +45,14 @@ BLOCK_DOCS, BLOCK_BYTES = 2048, 1_000_000
 FREQUENT = 512
 #: Expected hashes in a bucket.
 BUCKET = 1 << 20
-#: Expected candidate sets in a group of one pivot.
+#: Expected sets in a tree.
 GROUP = 256
 #: Up to so many pairs (24 bytes each) are broadcast to the sets; more are joined by a shuffle.
 BROADCAST_PAIRS = 100_000
-#: Pairs across components that a hash may have for each of its sets to be verified at once.
-CROSS = 16
+#: Expected pivots of a hash in the first turn, and how many times as many the next ones have.
+TURN, MORE = 16, 256
+#: Rows that a task of a small step handles: links and labels, and sets.
+ROWS, SETS = 200_000, 10_000
 
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], _U)
@@ -149,6 +152,12 @@ def sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, hash long")
 
 
+def rank(counts: np.ndarray) -> np.ndarray:
+    """Place of a number of sets on a scale of 8 bits: exact to 64, then eight steps for each doubling."""
+    c = np.maximum(np.asarray(counts, np.float64), 1)
+    return np.minimum(np.where(c < 64, c, 64 + np.floor(8 * np.log2(c / 64))), 255).astype(_U)
+
+
 def _five(x: np.ndarray) -> bytes:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
@@ -159,14 +168,27 @@ def _eight(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def shared(docs: DataFrame, frequent: np.ndarray, bits: int, n: int = WORDS) -> DataFrame:
+def _owners(own: np.ndarray, documents: int) -> bytes:
+    """Which document of a block each hash is of, in order: as counts of the documents, or as their numbers where that is shorter or a count too large."""
+    counts = np.bincount(own, minlength=documents)
+    if len(own) < documents or counts.max() > 0xFFFF:
+        return b"\1" + own.astype("<u2").tobytes()
+    return b"\0" + counts.astype("<u2").tobytes()
+
+
+def _owned(raw: bytes) -> np.ndarray:
+    values = np.frombuffer(raw, "<u2", offset=1).astype(np.int64)
+    return values if raw[0] else np.repeat(np.arange(len(values)), values)
+
+
+def shared(docs: DataFrame, frequent: np.ndarray, ranks: np.ndarray, bits: int, n: int = WORDS) -> DataFrame:
     """(digest, n, s, keys, prefix) of the sets that can link: keys are their shared hashes in the global order.
 
     Hashes keep 48 bits here, of which the first ``bits`` (at least 8) are the bucket.  Rows of step one: bucket, block,
-    counts (16 bits a document), packed hashes.  A block's digests, sizes and frequent hashes take a bucket of its own.
+    the documents that own the hashes, packed hashes.  A block's digests, sizes and frequent hashes take a bucket of its own.
     Blocks are consecutive rows of a partition, so ``docs`` should be read from files, where a repeated task sees the same order.
     """
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
+    known = docs.sparkSession.sparkContext.broadcast((frequent, ranks.astype(_U) << _U(48)))  # at most FREQUENT times the mean set size
     rest = 48 - bits
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     names = ["bucket", "block", "counts", "data"]
@@ -175,7 +197,7 @@ def shared(docs: DataFrame, frequent: np.ndarray, bits: int, n: int = WORDS) ->
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        often, part = known.value, TaskContext.get().partitionId()
+        (often, place), part = known.value, TaskContext.get().partitionId()
         for number, (_, found) in enumerate(_blocks(batches, n)):
             block = part << 32 | number
             by = {digest(g): g for g in found if len(g)}  # one set per class
@@ -186,20 +208,20 @@ def shared(docs: DataFrame, frequent: np.ndarray, bits: int, n: int = WORDS) ->
             if len(often):
                 at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
                 common = often[at] == grams
+                often_keys = (grams[common] >> _U(16)) | place[at[common]]
             else:
-                common = np.zeros(len(grams), bool)
+                common, often_keys = np.zeros(len(grams), bool), grams[:0]
             tokens = grams >> _U(16)
             heads = b"".join(k + len(g).to_bytes(8, "little") for k, g in by.items())
             counted = np.bincount(own[common], minlength=len(by)).astype("<u4").tobytes()
-            rows = [(-1 - block, block, None, heads), (-1 - block, block, counted, (tokens[common] | _U(255 << 48)).tobytes())]
+            rows = [(-1 - block, block, None, heads), (-1 - block, block, counted, often_keys.tobytes())]
             tokens, own = tokens[~common], own[~common]
             order = np.argsort((tokens >> _U(rest)).astype(np.int32), kind="stable")
             tokens, own = tokens[order], own[order]
             buckets = (tokens >> _U(rest)).astype(np.int64)
             edges = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if len(buckets) else np.empty(0, np.int64)
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(buckets)]):
-                counts = np.bincount(own[a:b], minlength=len(by)).astype("<u2").tobytes()
-                rows.append((int(buckets[a]), block, counts, _five(tokens[a:b] & _U((1 << rest) - 1))))
+                rows.append((int(buckets[a]), block, _owners(own[a:b], len(by)), _five(tokens[a:b] & _U((1 << rest) - 1))))
             yield _rows(kinds, names, rows)
 
     def count(table: pa.Table) -> pa.Table:
@@ -212,12 +234,11 @@ def shared(docs: DataFrame, frequent: np.ndarray, bits: int, n: int = WORDS) ->
         sizes = sizes[inverse]
         rows, at = [], 0
         for block, c, x in zip(blocks, counts, parts):
-            own = np.repeat(np.arange(len(c) // 2), np.frombuffer(c, "<u2"))
             mine = sizes[at : at + len(x)]
             keep = mine > 1
-            keys = np.minimum(mine[keep], 254).astype(_U) << _U(48) | _U(bucket[0] << rest) | x[keep]
+            keys = rank(mine[keep]) << _U(48) | _U(bucket[0] << rest) | x[keep]
             if len(keys):
-                rows.append((bucket[0], block, np.bincount(own[keep], minlength=len(c) // 2).astype("<u4").tobytes(), keys.tobytes()))
+                rows.append((bucket[0], block, np.bincount(_owned(c)[keep]).astype("<u4").tobytes(), keys.tobytes()))
             at += len(x)
         return pa.Table.from_batches([_rows(kinds, names, rows)])
 
@@ -249,78 +270,176 @@ def shared(docs: DataFrame, frequent: np.ndarray, bits: int, n: int = WORDS) ->
     return found.dropDuplicates(["digest"])
 
 
-def walk(query: np.ndarray, size: int, candidates: list[tuple[int, int, bytes]]) -> list[int]:
-    """Ids of the candidates (id, size, keys) whose similarity to the query set is at least 0.75.
+class PrefixTree:
+    """Globally ordered sets as a prefix tree whose edges are runs of keys.
+
+    Node 0 is the root.  Node ``v`` adds the keys ``begin[v]`` to ``end[v]`` of the set ``leaf[v]`` to its parent's path; below it
+    are the sets ``order[low[v]:high[v]]``, of ``least[v]`` n-grams at least and with ``longest[v]`` keys at most.
+    """
+
+    def __init__(self, sizes: list[int], keys: list[np.ndarray]):
+        raw = [k.astype(">u8").tobytes() for k in keys]
+        self.order = sorted(range(len(keys)), key=raw.__getitem__)
+        self.sizes, self.keys = [sizes[i] for i in self.order], [keys[i] for i in self.order]
+        self.begin, self.end, self.leaf = [0], [0], [0]
+        self.first_child, self.next_sibling, self.terminals = [-1], [-1], [[]]
+        path, before = [0], None
+        for i, x in enumerate(self.keys):
+            depth = 0
+            if before is not None:
+                short = min(len(x), len(before))
+                differ = np.flatnonzero(x[:short] != before[:short])
+                depth = int(differ[0]) if len(differ) else short
+            while len(path) > 1 and self.begin[path[-1]] >= depth:
+                path.pop()
+            at = path[-1]
+            if self.end[at] > depth:  # the run of keys splits where the new set leaves it
+                lower = self._add(depth, self.end[at], self.leaf[at])
+                self.first_child[lower], self.terminals[lower] = self.first_child[at], self.terminals[at]
+                self.end[at], self.first_child[at], self.terminals[at] = depth, lower, []
+            if len(x) > depth:
+                new = self._add(depth, len(x), i)
+                self.next_sibling[new], self.first_child[at] = self.first_child[at], new
+                path.append(new)
+                at = new
+            self.terminals[at].append(i)
+            before = x
+        self._bounds()
+
+    def _add(self, begin: int, end: int, leaf: int) -> int:
+        for column, value in ((self.begin, begin), (self.end, end), (self.leaf, leaf), (self.first_child, -1), (self.next_sibling, -1), (self.terminals, [])):
+            column.append(value)
+        return len(self.begin) - 1
+
+    def children(self, node: int) -> Iterator[int]:
+        child = self.first_child[node]
+        while child >= 0:
+            yield child
+            child = self.next_sibling[child]
+
+    def _bounds(self) -> None:
+        nodes, stack = [], [0]
+        while stack:
+            nodes.append(stack.pop())
+            stack.extend(self.children(nodes[-1]))
+        n = len(self.begin)
+        self.low, self.high, self.least, self.longest = [len(self.sizes)] * n, [0] * n, [1 << 62] * n, [0] * n
+        for v in reversed(nodes):  # children come after their parent
+            own = self.terminals[v]
+            parts = [(i, i + 1, self.sizes[i], len(self.keys[i])) for i in own] + [(self.low[c], self.high[c], self.least[c], self.longest[c]) for c in self.children(v)]
+            if parts:
+                low, high, least, longest = zip(*parts)
+                self.low[v], self.high[v], self.least[v], self.longest[v] = min(low), max(high), min(least), max(longest)
+
+    def join(self, query: np.ndarray, size: int, settled: np.ndarray) -> list[int]:
+        """Places (in ``order``) of the sets, but for ``settled`` ones, whose similarity to the query is at least 0.75."""
+        found, stack = [], [(0, 0, 0)]  # node, overlap of its parent's path, keys of the query that the path has passed
+        while stack:
+            node, overlap, passed = stack.pop()
+            if settled[self.low[node] : self.high[node]].all():
+                continue
+            run, k, end, longest = self.keys[self.leaf[node]], self.begin[node], self.end[node], self.longest[node]
+            needed = -(-3 * (size + self.least[node]) // 7)
+            while overlap + min(longest - k, len(query) - passed) >= needed:
+                if k == end:
+                    for i in self.terminals[node]:
+                        if 7 * overlap >= 3 * (size + self.sizes[i]) and not settled[i]:
+                            found.append(i)
+                    stack.extend((child, overlap, passed) for child in self.children(node))
+                    break
+                step = run[k : min(k + 64, end)]
+                at = np.searchsorted(query, step)
+                overlap += int((query[np.minimum(at, len(query) - 1)] == step).sum())
+                passed = int(np.searchsorted(query, step[-1], "right"))
+                k += len(step)
+        return found
+
+
+def tree_links(sizes: list[int], keys: list[np.ndarray], queries: list[int], labels: list[int]) -> list[tuple[int, int]]:
+    """Links, as pairs of labels, that join the labels of sets which a walk through their tree from one of ``queries`` finds linked."""
+    if len(set(labels)) < 2:
+        return []
+    tree = PrefixTree(sizes, keys)
+    place = {i: at for at, i in enumerate(tree.order)}
+    group = np.unique(np.array([labels[i] for i in tree.order], np.int64), return_inverse=True)[1]
+    asked, links = np.zeros(len(sizes), bool), []
+    for i in queries:
+        own = group[place[i]]
+        asked[place[i]] = True
+        for at in tree.join(keys[i], sizes[i], asked | (group == own)):
+            if group[at] != own:
+                links.append((labels[i], labels[tree.order[at]]))
+                group[group == group[at]] = own
+        if (group == own).all():
+            break
+    return links
+
+
+def verify(pairs: DataFrame, stored: DataFrame, every: bool) -> DataFrame:
+    """The links (x, y) between components that trees find.
 
-    In the order of their keys the candidates are the leaves of their prefix tree from left to right; ``overlap[d]`` is
-    the overlap of the current path's first d keys.
+    A tree holds the pivot ``a`` and its candidates ``b`` of ``pairs`` (a, b, component_a, component_b), at most about ``GROUP`` of them; it is asked
+    for the pivot alone or for ``every`` set in it.  ``stored`` is (id, n, keys).
     """
-    leaves = sorted(((np.frombuffer(k, "<u8").astype(">u8").tobytes(), i, n) for i, n, k in candidates), key=lambda x: x[0])
-    found, path, overlap, done = [], np.empty(0, _U), np.zeros(1, np.int64), 0
-    for raw, i, n in leaves:
-        keys = np.frombuffer(raw, ">u8").astype(_U)
-        needed = -(-3 * (size + n) // 7)
-        short = min(done, len(keys))
-        differ = np.flatnonzero(path[:short] != keys[:short])
-        depth = int(differ[0]) if len(differ) else short
-        path, done = keys, depth
-        if overlap.size < len(keys) + 1:
-            overlap = np.concatenate([overlap, np.zeros(len(keys) + 1 - overlap.size, np.int64)])
-        while done < len(keys):
-            behind = np.searchsorted(query, keys[done])
-            if overlap[done] + min(len(keys) - done, len(query) - behind) < needed:
-                break  # neither what remains of the path nor of the query suffices
-            step = keys[done : done + 64]
-            at = np.minimum(np.searchsorted(query, step), len(query) - 1)
-            overlap[done + 1 : done + 1 + len(step)] = overlap[done] + np.cumsum(query[at] == step)
-            done += len(step)
-        if done == len(keys) and overlap[done] >= needed:
-            found.append(i)
-    return found
-
-
-def verify(pairs: DataFrame, stored: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets link; ``stored`` is (id, n, keys)."""
-    loads = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    dealt = pairs.join(loads, "a").withColumn("part", F.pmod(F.xxhash64("b"), "groups")).select("a", "part", "b")
-    own = dealt.select("a", "part").distinct()
-    if pairs.count() <= BROADCAST_PAIRS:  # then the sets stay where they are
-        dealt, own = F.broadcast(dealt), F.broadcast(own)
-    others = stored.join(dealt, dealt["b"] == stored["id"]).select("a", "part", "b", "n", "keys")
-    own = stored.join(own, own["a"] == stored["id"]).select("a", "part", F.lit(None).cast("long").alias("b"), "n", "keys")
+    rows = pairs.count()
+    loads = pairs.groupBy("a", "component_a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    loads = sized(loads, rows, ROWS)
+    dealt = pairs.join(loads.drop("component_a"), "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("part"), "b", F.col("component_b").alias("component"))
+    own = loads.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), F.col("component_a").alias("component"))
+    wanted = dealt.unionByName(own).withColumn("id", F.coalesce("b", "a"))
+    if rows <= BROADCAST_PAIRS:  # then the sets stay where they are
+        wanted = F.broadcast(wanted)
+    members = stored.join(wanted, "id").select("a", "part", "b", "component", "n", "keys")
 
     def run(table: pa.Table) -> pa.Table:
-        a, ids, sizes, keys = (table.column(c).to_pylist() for c in ("a", "b", "n", "keys"))
-        queries = [(n, np.frombuffer(k, "<u8")) for b, n, k in zip(ids, sizes, keys) if b is None]
-        candidates = [(b, n, k) for b, n, k in zip(ids, sizes, keys) if b is not None]
-        found = sorted({b for n, q in queries for b in walk(q, n, candidates)})
-        return pa.table({"a": pa.array([a[0]] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+        ids, labels, sizes, keys = (table.column(c).to_pylist() for c in ("b", "component", "n", "keys"))
+        queries = [i for i, b in enumerate(ids) if b is None]
+        queries += [i for i, b in enumerate(ids) if b is not None] if every else []
+        links = tree_links(sizes, [np.frombuffer(k, "<u8") for k in keys], queries, labels)
+        return pa.table({c: pa.array([link[k] for link in links], pa.int64()) for k, c in enumerate("xy")})
+
+    return sized(members.groupBy("a", "part").applyInArrow(run, "x long, y long"), rows, SETS)
+
 
-    return others.unionByName(own).groupBy("a", "part").applyInArrow(run, "a long, b long")
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each batch as links to the least of those that they connect."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+
+        def top(i: int) -> int:
+            while parent.setdefault(i, i) != i:  # noqa: B023
+                parent[i] = i = parent[parent[i]]  # noqa: B023
+            return i
+
+        for x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = top(x), top(y)
+            parent[max(a, b)] = min(a, b)
+        found = [(i, top(i)) for i in parent if top(i) != i]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["x", "y"])
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable from each of ``nodes`` (id, component) over ``links`` (a, b) and equal components.
+    """``nodes`` (id, component) after ``links`` (x, y) between components: every component takes the least that it reaches.
 
     Each round every component takes the least neighbouring one, then pointers are halved; all of it on stored tables.
     """
-    # work between components, of which there are fewer than nodes
-    of = lambda side, df: df.join(nodes.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side)
-    edges = of("b", of("a", links)).select(F.col("c_a").alias("x"), F.col("c_b").alias("y")).where("x <> y")
-    edges = cut(edges.union(edges.select("y", "x")).distinct(), "edges")
-    if edges.isEmpty():
+    edges = links.mapInArrow(_forest, "x long, y long")
+    edges = cut(edges.union(edges.select("y", "x")), "edges")
+    n = edges.count()
+    if not n:
         return nodes
-    labels = cut(edges.groupBy(F.col("x").alias("id")).agg(F.least("id", F.min("y")).alias("label")), "labels")
+    fit = lambda df: sized(df, n, ROWS)
+    labels = cut(fit(edges.groupBy(F.col("x").alias("id")).agg(F.least("id", F.min("y")).alias("label"))), "labels")
     while True:
-        heard = edges.join(labels, edges["y"] == labels["id"]).groupBy("x").agg(F.min("label").alias("heard"))
-        new = labels.join(heard, labels["id"] == heard["x"], "left").select("id", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        jump = labels.select(F.col("id").alias("at"), F.col("label").alias("next"))
-        new = new.join(jump, new["label"] == jump["at"], "left").select("id", "old", F.least("label", "next").alias("label"))
-        new = cut(new, "labels")
-        moved = not new.where("old <> label").isEmpty()
-        labels = new.select("id", "label")
-        if not moved:
+        ends = labels.select(F.col("id").alias("x"), F.col("label").alias("from")), labels.select(F.col("id").alias("y"), F.col("label").alias("to"))
+        apart = edges.join(ends[0], "x").join(ends[1], "y").where("from > to").select("x", "to")
+        if apart.isEmpty():
             break
+        heard = fit(apart.groupBy("x").agg(F.min("to").alias("heard")))
+        new = labels.join(heard, labels["id"] == heard["x"], "left").select("id", F.least("label", "heard").alias("label"))
+        jump = labels.select(F.col("id").alias("at"), F.col("label").alias("next"))
+        new = new.join(jump, new["label"] == jump["at"], "left").select("id", F.least("label", "next").alias("label"))
+        labels = cut(fit(new), "labels")
     final = labels.select(F.col("id").alias("component"), "label")
     return cut(nodes.join(final, "component", "left").select("id", F.coalesce("label", "component").alias("component")), "components")
 
@@ -338,51 +457,45 @@ def link(stored: DataFrame) -> DataFrame:
     ``pos`` is a prefix hash's place in the global order of its set.  If it is the first that two sets share, no more than what
     follows in either can be common; a pair that can link passes this test at its first common hash.
     """
-    lists = stored.select("id", "n", "keys")
-    rank = (-F.col("s") / F.col("n")).alias("rank")
-    posting = stored.select("id", "n", rank, F.col("n") - F.col("s"), F.posexplode("prefix")).toDF("id", "n", "rank", "alone", "pos", "hash")
-    posting = posting.select("hash", "id", "n", "rank", (F.col("alone") + F.col("pos")).alias("pos"))
+    sets = stored.select("id", "n", "keys")
+    count = stored.count()
+    share = (-F.col("s") / F.col("n")).alias("share")
+    posting = stored.select("id", "n", share, F.col("n") - F.col("s"), F.posexplode("prefix")).toDF("id", "n", "share", "alone", "pos", "hash")
+    posting = posting.select("hash", "id", "n", "share", (F.col("alone") + F.col("pos")).alias("pos"))
     side = lambda df, x, *more: df.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", *more)])
     # first: each set and the pivot that most of its prefix hashes name
-    best = posting.groupBy("hash").agg(F.min(F.struct("rank", "id", "n", "pos")).alias("pivot"), F.count("*").alias("c")).where("c > 1")
+    best = posting.groupBy("hash").agg(F.min(F.struct("share", "id", "n", "pos")).alias("pivot"), F.count("*").alias("c")).where("c > 1")
     best = best.select("hash", *[F.col(f"pivot.{c}").alias(f"{c}_a") for c in ("id", "n", "pos")])
     named = side(posting, "b").join(best, "hash").where(F.col("id_a") != F.col("id_b")).where(_can("a", "b"))
     named = named.groupBy("id_b", "id_a").agg(F.count("*").alias("c"))
-    first = named.groupBy("id_b").agg(F.max_by("id_a", F.struct("c", -F.col("id_a"))).alias("a")).select("a", F.col("id_b").alias("b"))
+    first = named.groupBy("id_b").agg(F.max_by("id_a", F.struct("c", -F.col("id_a"))).alias("a"))
+    first = first.select("a", F.col("id_b").alias("b"), F.col("a").alias("component_a"), F.col("id_b").alias("component_b"))
     nodes = stored.select("id", F.col("id").alias("component"))
-    nodes = components(nodes, verify(cut(first, "first"), lists))
-    waiting, begin = None, 0
+    nodes = components(nodes, verify(cut(sized(first, count, ROWS), "first"), sets, True))
+    # then: sets of different components with a common hash, where a hash has many in turns.  ``turn`` is spread evenly over 0 to 1;
+    # of two sets the one with the smaller turn is the pivot, and a hash is through when all turns have been pivots.
+    waiting = posting.withColumns({"turn": F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(1 << 30), "done": F.lit(0.0)}).drop("share")
+    pivots = TURN
     while True:
-        until = max(CROSS, 4 * begin)
-        rows = posting.join(nodes, "id")
-        if waiting is not None:
-            rows = rows.join(waiting, "hash", "left_semi")
+        rows = waiting.join(nodes, "id")
         # sets that cannot reach the overlap with the smallest fitting set of the hash have no pair there
-        least = rows.groupBy("hash").agg(F.min("n").alias("least"), F.min("component").alias("one"), F.max("component").alias("other"))
-        rows = rows.join(least.where("one <> other").select("hash", "least"), "hash")
+        by = rows.groupBy("hash").agg(F.min("n").alias("least"), F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("m"))
+        by = by.where("one <> other").select("hash", "least", F.least(F.lit(1.0), pivots / F.col("m")).alias("until"))
         partner = F.greatest("least", F.ceil(0.75 * F.col("n")))
-        rows = rows.where(F.col("n") - F.col("pos") >= F.ceil(3 * (F.col("n") + partner) / 7)).drop("least")
-        rows = cut(rows, "rows")
-        by = rows.groupBy("hash", "component").agg(F.count("*").alias("c"))
-        by = by.groupBy("hash").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
-        by = cut(by.select("hash", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2 > CROSS * F.col("m")).alias("many")), "cross")
-        rows = rows.join(by, "hash")
-        few = rows.where("not many")
-        pairs = side(few, "a", "component").join(side(few, "b", "component"), "hash").where("component_a < component_b").where(_can("a", "b"))
-        pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        many = not by.where("many").isEmpty()
-        if many:
-            turns = rows.where("many").withColumn("turn", F.row_number().over(W.partitionBy("hash").orderBy("rank", "id")))
-            pivots = side(turns.where((F.col("turn") > begin) & (F.col("turn") <= until)), "a", "component", "turn")
-            more = pivots.join(side(turns, "b", "component", "turn"), "hash").where("component_a <> component_b and turn_a < turn_b").where(_can("a", "b"))
-            pairs = pairs.union(more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-        pairs = cut(pairs.distinct(), "pairs")
+        rows = rows.join(by, "hash").where(F.col("n") - F.col("pos") >= F.ceil(3 * (F.col("n") + partner) / 7)).drop("least")
+        rows = cut(sized(rows, 8 * count, ROWS), "rows")
+        a = side(rows.where("turn >= done and turn < until"), "a", "component", "turn")
+        b = side(rows, "b", "component", "turn")
+        order = F.struct("turn_a", "id_a") < F.struct("turn_b", "id_b")
+        pairs = a.join(b, "hash").where(order & (F.col("component_a") != F.col("component_b")) & _can("a", "b"))
+        pairs = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.first("component_a").alias("component_a"), F.first("component_b").alias("component_b"))
+        pairs = cut(sized(pairs, 8 * count, ROWS), "pairs")
         if not pairs.isEmpty():
-            nodes = components(nodes, verify(pairs, lists))
-        if not many:
+            nodes = components(nodes, verify(pairs, sets, False))
+        waiting = rows.where("until < 1").select("hash", "id", "n", "pos", "turn", F.col("until").alias("done"))
+        if waiting.isEmpty():
             return nodes
-        begin = until
-        waiting = by.where(F.col("many") & (F.col("m") > begin)).select("hash")
+        pivots *= MORE
 
 
 def join(docs: DataFrame, n: int = WORDS) -> DataFrame:
@@ -394,14 +507,17 @@ def join(docs: DataFrame, n: int = WORDS) -> DataFrame:
     least = max(200, rows // FREQUENT)
     often = first.where("digest is null").groupBy("hash").agg(F.sum("n").alias("n"))
     # at most FREQUENT times the mean set size
-    hashes = np.sort(np.array([r["hash"] for r in often.where(F.col("n") >= least).select("hash").collect()], np.int64).view(_U))
+    often = sorted((r["hash"] % (1 << 64), r["n"]) for r in sized(often, rows, ROWS).where(F.col("n") >= least).collect())
     bits = max(8, int(np.ceil(np.log2(max(total, 1) / BUCKET)))) if total else 8
-    classes = table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    stored = shared(docs, hashes, min(bits, 40), n).join(classes, "digest").drop("digest").where("id is not null")
-    nodes = link(cut(stored, "stored"))
-    named = table.join(classes.withColumnRenamed("digest", "d"), (table["digest"] == F.col("d")) & (table["n"] > 0), "left")
-    named = named.select("doc_id", "n", F.coalesce("id", "doc_id").alias("id"))
-    return named.join(nodes, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    classes = table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"))
+    classes = cut(sized(classes, rows, ROWS).withColumn("id", F.monotonically_increasing_id()), "classes")
+    keys = shared(docs, np.array([h for h, _ in often], _U), rank(np.array([c for _, c in often])), min(bits, 40), n)
+    nodes = link(cut(sized(keys.join(classes.select("digest", "id"), "digest").drop("digest"), rows, SETS), "stored"))
+    top = classes.join(nodes, "id").groupBy("component").agg(F.min("doc").alias("top"))
+    linked = nodes.join(sized(top, rows, ROWS), "component").select("id", "top")
+    named = classes.join(linked, "id", "left").select(F.col("digest").alias("d"), F.coalesce("top", "doc").alias("top"))
+    out = table.join(named, (table["digest"] == F.col("d")) & (table["n"] > 0), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
