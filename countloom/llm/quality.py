@@ -1,15 +1,17 @@
 """Compression classifier for text quality.
 
-Two zstandard dictionaries are trained, from good and from bad labelled texts.  A text is compressed whole with each; the
-difference of the sizes, normalised by its length and by their sum, goes through a logistic calibration fitted on labelled
-texts that no dictionary saw.
+Two zstandard dictionaries are trained, from good and from bad labelled texts.  A text is compressed whole with each; the one
+feature is the difference of the sizes, normalised by the square root of the text's length (its noise grows like that).  A
+logistic calibration with a slope that is never negative, fitted on labelled texts that no dictionary saw and weighted to the
+shares of the labels in the whole table, turns it into the score.
 
-The fit uses at most ``FIT_ROWS`` labelled rows per class (those with the smallest id hash) of at most ``FIT_CHARS``
+The fit uses at most ``FIT_ROWS`` labelled rows per class (those with the smallest id hash) and of each at most the first ``FIT_CHARS``
 characters; scoring reads every text whole.
 
-Defined results: a null or empty text has no difference and gets the calibrated score of that; labels without a text, with
-a null id or a null label are not learned from; without rows of both classes every score is 0.5; equal texts score alike;
-an empty table gives an empty result; extra columns are ignored by ``score`` (it returns id and score).
+Defined results: a null or empty text has no difference, so its score is that of the difference 0; labels without a text, with
+a null id or a null label are not learned from; without rows of both classes every score is 0.5; where there is too little text
+to train a dictionary from, the texts themselves are the dictionary; equal texts score alike;
+an empty table gives an empty result; extra columns are ignored by ``score`` (it returns id and score) and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from .common import held_out, read
 
 FIT_ROWS = 1500
 FIT_CHARS = 20_000
-DICTIONARY = 112 << 10
-LEVEL = 3
+DICTIONARY = 64 << 10
+LEVEL = 15
 SAMPLE = 2000  # bytes of one training sample of a dictionary
 
 
@@ -39,14 +41,14 @@ class Model:
 
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
+    weights: tuple[float, ...]  # at difference 0, and for each unit of it
 
     def scorer(self):
         if not self.good:
             return lambda text: 0.5
         a, b = _compressor(self.good), _compressor(self.bad)
-        weights = np.array(self.weights)
-        return lambda text: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(weights @ _features(text, a, b))))))
+        zero, slope = self.weights
+        return lambda text: 1 / (1 + math.exp(-max(-30.0, min(30.0, zero + slope * difference(text, a, b)))))
 
 
 def _compressor(dictionary: bytes) -> zstd.ZstdCompressor:
@@ -61,45 +63,48 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:] or b" " * 8
 
 
-def _features(text: bytes, good: zstd.ZstdCompressor, bad: zstd.ZstdCompressor) -> np.ndarray:
-    n, g, b = len(text), len(good.compress(text)), len(bad.compress(text))
-    by_length, by_sizes, density = (b - g) / max(n, 1), (b - g) / (b + g), g / max(n, 1)
-    return np.array([1.0, 10 * by_length, 10 * by_sizes, 10 * max(0.0, 0.3 - density), 30 * max(0.0, 0.1 - density), 1 / (1 + n / 100), 10 * by_length / (1 + n / 100)])
+def difference(text: bytes, good: zstd.ZstdCompressor, bad: zstd.ZstdCompressor) -> float:
+    """How many bytes shorter the text is with the good dictionary, over the square root of its length."""
+    return (len(bad.compress(text)) - len(good.compress(text))) / math.sqrt(max(1, len(text)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
+    """Weighted logistic regression on one feature; its slope is at least 0."""
+    x, w = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge * np.eye(2), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    return (float(w[0]), float(w[1])) if w[1] >= 0 else (0.0, 0.0)
 
 
-def train(rows: list[tuple[bytes, int]]) -> Model:
-    """From (text, label) rows: even rows make the dictionaries, odd rows calibrate."""
+def train(rows: list[tuple[bytes, int]], counts: tuple[int, int] | None = None) -> Model:
+    """From (text, label) rows: even rows make the dictionaries, odd rows calibrate.  ``counts`` are the labels 1 and 0 of the whole table."""
     good, bad = ([t for t, y in rows if y == label and t] for label in (1, 0))
     if not good or not bad:
         return Model(b"", b"", ())
     first, rest = [x[::2] for x in (good, bad)], [x[1::2] or x for x in (good, bad)]
     dictionaries = [_dictionary(x) for x in first]
     a, b = map(_compressor, dictionaries)
-    x = np.array([_features(t, a, b) for side in rest for t in side])
-    y = np.array([1.0] * len(rest[0]) + [0.0] * len(rest[1]))
-    return Model(*dictionaries, tuple(_logistic(x, y)))
+    sizes = [len(x) for x in rest]
+    shares = [c / sum(counts) * sum(sizes) / n for c, n in zip(counts, sizes)] if counts else [1.0, 1.0]
+    x = np.array([difference(t, a, b) for side in rest for t in side])
+    y, weight = np.repeat([1.0, 0.0], sizes), np.repeat(shares, sizes)
+    return Model(*dictionaries, _logistic(x, y, weight))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Fits on labelled rows whose crc32(id) mod 3 is not 1."""
     marked = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id"), 3, 1) & F.col("y").isin(0, 1))
     order = F.xxhash64("doc_id"), F.col("doc_id")
+    counts = marked.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     chosen = [marked.where(F.col("y") == y).orderBy(*order).limit(FIT_ROWS) for y in (0, 1)]
-    texts = docs.select("doc_id", "text").where(F.length("text") <= FIT_CHARS)
-    found = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * FIT_ROWS ids
+    found = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).where("text <> ''")
+    found = found.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * FIT_ROWS ids
     rows = found.orderBy(*order, "y", "text").limit(2 * FIT_ROWS).select("text", "y").collect()
-    return train([(r["text"].encode("utf-8", "replace"), r["y"]) for r in rows])
+    return train([(r["text"].encode("utf-8", "replace"), r["y"]) for r in rows], tuple(counts))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
