@@ -18,15 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
 
 GRAM = 8
 WINDOW = 12
-#: Rows of one range of ids.
-RANGE_ROWS = 8000
+#: Expected rows of one range of ids, of which there are at most so many (beyond that they have more rows, which a task sorts with spills).
+RANGE_ROWS, MOST_RANGES = 4000, 50_000
 FINGERPRINT = "array<struct<hash: long, position: long>>"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -89,9 +89,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def digest(hashes: np.ndarray) -> str:
-    """The chosen hashes in order as text."""
-    return base64.b64encode(hashes.astype("<u4").tobytes()).decode()
+def digest(hashes: np.ndarray, positions: np.ndarray) -> str:
+    """The chosen hashes in order and the steps between their positions (the first from 0, each of at most a window) as text; see ``read_digest``."""
+    steps = np.diff(positions, prepend=0)
+    return base64.b64encode(hashes.astype("<u4").tobytes()).decode() + "." + base64.b64encode(steps.astype("<u2").tobytes()).decode()
+
+
+def read_digest(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of a ``digest``."""
+    hashes, steps = (base64.b64decode(x) for x in text.split("."))
+    return np.frombuffer(hashes, "<u4").astype(np.uint64), np.cumsum(np.frombuffer(steps, "<u2").astype(np.int64))
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -110,34 +117,63 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, fingerprint {FINGERPRINT}")
 
 
+def _below(bounds: list[int], key: Column) -> Column:
+    """How many of the sorted ``bounds`` are less than the key (binary search in a constant array)."""
+    if not bounds:
+        return F.lit(0)
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        less = F.get(array, middle) < key
+        return F.when(s["low"] >= s["high"], s).otherwise(
+            F.struct(F.when(less, middle + 1).otherwise(s["low"]).alias("low"), F.when(less, s["high"]).otherwise(middle).alias("high"))
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["low"])
+
+
 def in_order(docs: DataFrame) -> DataFrame:
-    """Rows (range, last, doc_id, text) so that sorted by descending id each row's next is the following row of its range.
+    """Rows (place, last, doc_id, text), a partition for each place: sorted by descending id each row's next is the following row of its place.
 
-    Ranges of ids are cut from the ids alone; a range's rows end with ``last``, a copy of the first row of the range that
-    follows (of the first range, for the last one).  So every text is moved once and no range needs another.
+    Places are ranges of ids, cut from the ids alone; an id with the rows of several ranges, and the rows without an id, are cut by their
+    texts' hashes.  A place's rows end with ``last``, a copy of the first row of the place that follows (of the first place, for the
+    last one).  So every text is moved once and no place needs another.
     """
-    n = docs.count()
-    ranges = max(1, -(-n // RANGE_ROWS))
     ids = docs.select("doc_id")
+    n = ids.count()
+    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
     points = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(ids.select(F.percentile_approx("doc_id", points, 100 * ranges)).first()[0] or [])) if points else []
+    cuts = (ids.select(F.percentile_approx("doc_id", points, min(1_000_000, 100 * ranges))).first()[0] or []) if points else []
+    often = {a for a, b in zip(cuts, cuts[1:]) if a == b}
+    bounds = sorted(set(cuts) | {i - 1 for i in often if i > -(1 << 63)})
     # range 0 has the highest ids; a null id comes after all others
     key = F.col("doc_id")
-    place = F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda b: b >= key))
-    place = F.when(key.isNull(), F.lit(len(bounds) + 1)).otherwise(place)
-    with_range = docs.select("doc_id", "text", place.alias("range"))
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("tie"))
-    # the first row of each range: `ranges` rows of three numbers
-    heads = [(r["range"], r["m"]["doc_id"], r["m"]["tie"]) for r in with_range.groupBy("range").agg(F.max(order).alias("m")).orderBy("range").collect()]
+    at = F.when(key.isNull(), F.lit(len(bounds) + 1)).otherwise(len(bounds) - _below(bounds, key)).cast("int")
+    counts = {r["at"]: r["n"] for r in ids.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect()}  # a number a range
+    whole = {len(bounds) + 1, *(sum(b >= i for b in bounds) for i in often)}
+    parts = [-(-counts.get(r, 0) // RANGE_ROWS) if r in whole else 1 for r in range(len(bounds) + 2)]
+    firsts = np.cumsum([0, *(max(1, k) for k in parts)])
+    of = lambda values, r: F.get(F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<int>"), r)
+    tie = F.xxhash64("text")
+    turn = F.floor((2.0**63 - tie.cast("double")) / 2.0**64 * of(parts, F.col("at")))  # rises as the hash falls
+    turn = F.least(turn, of(parts, F.col("at")) - 1).cast("int")
+    place = of(firsts, F.col("at")) + F.when(of(parts, F.col("at")) > 1, turn).otherwise(0)
+    placed = docs.select("doc_id", "text", at.alias("at")).select("doc_id", "text", place.cast("int").alias("place"))
+    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), tie.alias("tie"))
+    # the first row of each place: three numbers a place
+    heads = [(r["place"], r["m"]["doc_id"], r["m"]["tie"]) for r in placed.groupBy("place").agg(F.max(order).alias("m")).orderBy("place").collect()]
+    columns = ["place", "last", "doc_id", "text"]
+    rows = placed.withColumn("last", F.lit(False)).select(*columns)
     if not heads:
-        return with_range.withColumn("last", F.lit(False)).select("range", "last", "doc_id", "text")
-    before = [(at[0], heads[i - 1][0], at[1], at[2]) for i, at in enumerate(heads)]
-    spark = docs.sparkSession
-    heads_df = spark.createDataFrame(before, "range int, to_range int, head_id long, head_tie long")
-    same = (with_range["range"] == heads_df["range"]) & (order["doc_id"] == heads_df["head_id"]) & (order["tie"] == heads_df["head_tie"])
-    copies = with_range.join(F.broadcast(heads_df), same).select(F.col("to_range").alias("range"), F.lit(True).alias("last"), "doc_id", "text")
-    copies = copies.groupBy("range", "last").agg(F.first(F.struct("doc_id", "text")).alias("x")).select("range", "last", "x.doc_id", "x.text")
-    return with_range.select("range", F.lit(False).alias("last"), "doc_id", "text").unionByName(copies)
+        return rows
+    before = [(head[0], heads[i - 1][0], head[1], head[2]) for i, head in enumerate(heads)]
+    heads_df = docs.sparkSession.createDataFrame(before, "place int, to_place int, head_id long, head_tie long")
+    same = (placed["place"] == heads_df["place"]) & (order["doc_id"] == heads_df["head_id"]) & (order["tie"] == heads_df["head_tie"])
+    copies = placed.join(F.broadcast(heads_df), same).select(F.col("to_place").alias("place"), F.lit(True).alias("last"), "doc_id", "text")
+    copies = copies.groupBy("place", "last").agg(F.first(F.struct("doc_id", "text")).alias("x")).select("place", "last", "x.doc_id", "x.text")
+    return rows.unionByName(copies).repartitionById(int(firsts[-1]), F.col("place"))
 
 
 def edited(text: str, following: str) -> str:
@@ -152,29 +188,29 @@ EDITS = (
 
 
 def compare_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """Fingerprints of every text, of its edited text, and the likenesses (see ``EDITS``)."""
+    """Fingerprints (hashes and positions, see ``digest``) of every text, of its edited text, and the likenesses (see ``EDITS``)."""
     rows = in_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (range, id, text, chosen hashes) of the row whose next is still to come
+        held = None  # (place, id, text, chosen hashes and positions) of the row whose next is still to come
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
                 for place, last, doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
-                    chosen = winnow(codes_of(text), gram, window)[0]
+                    chosen = winnow(codes_of(text), gram, window)
                     if held is not None and held[0] == place:
                         other = edited(held[2], text)
-                        new = winnow(codes_of(other), gram, window)[0]
+                        new = winnow(codes_of(other), gram, window)
                         sha = hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest()
-                        out.append((held[1], len(held[2]), sha, digest(held[3]), digest(new), likeness(held[3], new), likeness(held[3], chosen)))
+                        out.append((held[1], len(held[2]), sha, digest(*held[3]), digest(*new), likeness(held[3][0], new[0]), likeness(held[3][0], chosen[0])))
                     held = None if last else (place, doc_id, text, chosen)
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                     names = [x.split()[0] for x in EDITS.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    placed = rows.repartition("range").sortWithinPartitions(F.col("range"), F.col("last"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc(), "text")
-    return placed.select("range", "last", "doc_id", "text").mapInArrow(run, EDITS)
+    placed = rows.sortWithinPartitions(F.col("place"), F.col("last"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc(), "text")
+    return placed.select("place", "last", "doc_id", "text").mapInArrow(run, EDITS)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
