@@ -8,8 +8,8 @@ sampled prefix that is nearest to the remaining 0.3.
 No source is gathered in one task: a source's keys are cut into buckets of a bounded expected number of rows by a
 monotone map of the key, buckets are summed before any shuffle of documents, and only within a bucket does a window run.
 
-Defined results: null or empty texts have size 0 and are never taken; a null source is a source of its own (last); a null
-id is hashed as the empty string; repeated rows are told apart by key, id and text hash (full ties share a place in the
+Defined results: null or empty texts have size 0 and are never taken; a null source is a source of its own (last); a row
+without an id is keyed by its text; repeated rows are told apart by key, id and text hash (full ties share a place in the
 order, which does not change any sum's result set); an empty table gives an empty result; extra columns are ignored by
 ``plan`` and kept by ``mix``.
 """
@@ -78,7 +78,7 @@ def plan(docs: DataFrame, most: int = MOST) -> DataFrame:
     keyed = docs.select("doc_id", "source", text, size_of(text).alias("size"))
     keyed = keyed.select(
         "doc_id", "source", "size", F.xxhash64("text").alias("tie"),
-        (-F.ln(unit(F.col("doc_id"))) / quality_weight(text, F.col("size"))).alias("key"),
+        (-F.ln(unit(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))) / quality_weight(text, F.col("size"))).alias("key"),
     )
     keyed = cut(keyed, "keyed")  # texts are read once
     sources = cut(targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), most), "sources")
@@ -103,19 +103,20 @@ def plan(docs: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """The mixed corpus: rows of ``docs``, each as often as the mix takes it."""
-    taken = plan(docs, most).groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias("__n"), F.count("*").alias("__rows"))
-    taken = cut(taken.where("__n > 0"), "taken")
-    left = docs.withColumn("__tie", F.xxhash64("text"))
-    on = left["doc_id"].eqNullSafe(taken["doc_id"]) & left["source"].eqNullSafe(taken["source"]) & (left["__tie"] == taken["tie"])
+    """The mixed corpus: rows of ``docs`` with all their columns, each as often as the mix takes it."""
+    taken = plan(docs, most).groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias("n"), F.count("*").alias("rows"))
+    taken = cut(taken.where("n > 0"), "taken")
+    # the document is one column here, so its own columns may have any names
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.xxhash64("text").alias("text_tie"))
+    on = left["document.doc_id"].eqNullSafe(taken["doc_id"]) & left["document.source"].eqNullSafe(taken["source"]) & (left["text_tie"] == taken["tie"])
     # about as many rows as documents: always a shuffle, so the plan is the same at every size
-    joined = left.join(taken.hint("merge"), on).select(left["*"], "__n", "__rows")
-    each = F.col("__n")
-    if not taken.where("__rows > 1").isEmpty():  # fully equal rows share their copies
-        turn = F.row_number().over(W.partitionBy("doc_id", "source", "__tie").orderBy(F.lit(1)))
-        each = F.floor(F.col("__n") / F.col("__rows")) + (turn <= F.col("__n") % F.col("__rows")).cast("long")
-    joined = joined.withColumn("__each", each).where("__each > 0")
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__each"))).alias("__copy")).drop("__copy")
+    joined = left.join(taken.hint("merge"), on)
+    each = F.col("n")
+    if not taken.where("rows > 1").isEmpty():  # fully equal rows share their copies
+        turn = F.row_number().over(W.partitionBy("doc_id", "source", "tie").orderBy(F.lit(1)))
+        each = F.floor(F.col("n") / F.col("rows")) + (turn <= F.col("n") % F.col("rows")).cast("long")
+    joined = joined.withColumn("each", each).where("each > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("each"))))
+    return joined.select("document.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +129,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), k AS (
   SELECT doc_id, source, size,
-         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE)
+         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(t))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE)
          / (1 - 0.5 * least(1.0, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::DOUBLE / greatest(size, 1))) AS key
   FROM d
 ), s AS (
