@@ -103,6 +103,12 @@ POLICIES = {
 }
 
 
+def keep(docs: DataFrame, policy: str = "web-1", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with all their columns, also those that are named like a measurement."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col(f"`{text}`").alias("text"))
+    return ledger(held).where(passes(policy)).select("document.*")
+
+
 def ledger(docs: DataFrame, text: str = "text", rules: dict[str, str] | None = None) -> DataFrame:
     """``docs`` with the measurements and ``ledger`` (long): bit i is set where rule i failed."""
     bits = [F.when(F.expr(cond), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, cond in enumerate((rules or RULES).values())]
@@ -112,22 +118,25 @@ def ledger(docs: DataFrame, text: str = "text", rules: dict[str, str] | None = N
     return measure(docs.drop("ledger"), text).withColumn("ledger", total)
 
 
-def passes(policy: str | int) -> Column:
-    mask = POLICIES[policy] if isinstance(policy, str) else policy
-    return F.col("ledger").bitwiseAND(F.lit(mask).cast("long")) == 0
+def mask_of(policy: str | int, rules: dict[str, str] | None = None) -> int:
+    """A policy's bits: by name, as a number, or all of ``rules`` where these are given instead of ``RULES``."""
+    if isinstance(policy, int):
+        return policy
+    return POLICIES[policy] if rules is None else (1 << len(rules)) - 1
+
+
+def passes(policy: str | int, rules: dict[str, str] | None = None) -> Column:
+    return F.col("ledger").bitwiseAND(F.lit(mask_of(policy, rules)).cast("long")) == 0
 
 
-def ablation(book: DataFrame, policy: str = "web-1") -> DataFrame:
+def ablation(book: DataFrame, policy: str | int = "web-1", rules: dict[str, str] | None = None) -> DataFrame:
     """Per rule of the policy: documents failing it, failing it alone, and kept if the rule were dropped (one aggregation over the ledger)."""
-    mask = POLICIES[policy]
+    mask = mask_of(policy, rules)
     masked = F.col("ledger").bitwiseAND(F.lit(mask).cast("long"))
-    names = [n for n in RULES if BIT[n] & mask]
+    bits = {name: 1 << i for i, name in enumerate(rules or RULES) if mask >> i & 1}
     aggs = [F.count_if(masked == 0).alias("kept")]
-    for n in names:
-        aggs += [
-            F.count_if(masked.bitwiseAND(F.lit(BIT[n]).cast("long")) != 0).alias(f"fails_{n}"),
-            F.count_if(masked == BIT[n]).alias(f"only_{n}"),
-        ]
+    for n, bit in bits.items():
+        aggs += [F.count_if(masked.bitwiseAND(F.lit(bit).cast("long")) != 0).alias(f"fails_{n}"), F.count_if(masked == bit).alias(f"only_{n}")]
     one = book.agg(*aggs)
     rows = [
         F.struct(
@@ -136,7 +145,7 @@ def ablation(book: DataFrame, policy: str = "web-1") -> DataFrame:
             F.col(f"only_{n}").alias("failed_alone"),
             (F.col("kept") + F.col(f"only_{n}")).alias("kept_without"),
         )
-        for n in names
+        for n in bits
     ]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
