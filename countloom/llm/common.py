@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -30,9 +31,14 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and every executor see: the cluster's ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A folder that the driver and every executor see: the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder serves if driver and executors are one process (tests), else there is none.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="countloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/countloom-{uuid.uuid4().hex}"
@@ -42,7 +48,17 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Lineage cut by a table written to the shared folder: it survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of ``cut`` tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
 
 
 def sized(df: DataFrame, rows: int, each: int, least: int = 16) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, sized
+from .common import cut, discard, read, sized
 
 WORDS = 5
 #: A block of documents that a task works on at once.
@@ -427,6 +427,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     edges = cut(edges.union(edges.select("y", "x")), "edges")
     n = edges.count()
     if not n:
+        discard(edges)
         return nodes
     fit = lambda df: sized(df, n, ROWS)
     labels = cut(fit(edges.groupBy(F.col("x").alias("id")).agg(F.least("id", F.min("y")).alias("label"))), "labels")
@@ -439,9 +440,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         new = labels.join(heard, labels["id"] == heard["x"], "left").select("id", F.least("label", "heard").alias("label"))
         jump = labels.select(F.col("id").alias("at"), F.col("label").alias("next"))
         new = new.join(jump, new["label"] == jump["at"], "left").select("id", F.least("label", "next").alias("label"))
-        labels = cut(fit(new), "labels")
+        old, labels = labels, cut(fit(new), "labels")
+        discard(old)
     final = labels.select(F.col("id").alias("component"), "label")
-    return cut(nodes.join(final, "component", "left").select("id", F.coalesce("label", "component").alias("component")), "components")
+    out = cut(nodes.join(final, "component", "left").select("id", F.coalesce("label", "component").alias("component")), "components")
+    discard(edges, labels)
+    return out
 
 
 def _can(side: str, other: str) -> Column:
@@ -471,11 +475,13 @@ def link(stored: DataFrame) -> DataFrame:
     first = named.groupBy("id_b").agg(F.max_by("id_a", F.struct("c", -F.col("id_a"))).alias("a"))
     first = first.select("a", F.col("id_b").alias("b"), F.col("a").alias("component_a"), F.col("id_b").alias("component_b"))
     nodes = stored.select("id", F.col("id").alias("component"))
-    nodes = components(nodes, verify(cut(sized(first, count, ROWS), "first"), sets, True))
+    first = cut(sized(first, count, ROWS), "first")
+    nodes = components(nodes, verify(first, sets, True))
+    discard(first)
     # then: sets of different components with a common hash, where a hash has many in turns.  ``turn`` is spread evenly over 0 to 1;
     # of two sets the one with the smaller turn is the pivot, and a hash is through when all turns have been pivots.
     waiting = posting.withColumns({"turn": F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(1 << 30), "done": F.lit(0.0)}).drop("share")
-    pivots = TURN
+    pivots, before = TURN, None
     while True:
         rows = waiting.join(nodes, "id")
         # sets that cannot reach the overlap with the smallest fitting set of the hash have no pair there
@@ -492,6 +498,8 @@ def link(stored: DataFrame) -> DataFrame:
         pairs = cut(sized(pairs, 8 * count, ROWS), "pairs")
         if not pairs.isEmpty():
             nodes = components(nodes, verify(pairs, sets, False))
+        discard(pairs, *([before] if before is not None else []))
+        before = rows
         waiting = rows.where("until < 1").select("hash", "id", "n", "pos", "turn", F.col("until").alias("done"))
         if waiting.isEmpty():
             return nodes

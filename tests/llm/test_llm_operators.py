@@ -98,6 +98,34 @@ def test_quality_on_held_out_labels(spark):
     assert (both["predicted"] == both["quality"]).mean() > 0.93
 
 
+def test_scores_equal_a_plain_compression(spark):
+    """Every score from the model's two dictionaries with the command of the library, and in the order of the size differences."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    made = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    zero, slope = model.weights
+    assert slope > 0
+    plain = {}
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        good, bad = (len(c.compress(raw)) for c in made)
+        plain[r["doc_id"]] = (bad - good) / max(1, len(raw)) ** 0.5
+    assert all(abs(got[i] - 1 / (1 + math.exp(-zero - slope * d))) < 1e-9 for i, d in plain.items())
+    ordered = sorted(plain, key=plain.get)
+    assert all(got[a] <= got[b] for a, b in zip(ordered, ordered[1:]))
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    good, bad = "plain words of a plain text " * 2000, "%%% &&& ### %%% $$$ " * 2000
+    docs = spark.createDataFrame([(k, good if k % 2 else bad) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    of = quality.fit(docs, labels).scorer()
+    assert of(good.encode()) > 0.5 > of(bad.encode())
+
+
 def test_quality_edges(spark, awkward, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.fit(awkward, none)
@@ -133,8 +161,22 @@ def test_rules_edges(spark, awkward, nothing):
     assert got[0]["ledger"] & 1 and got[4]["ledger"] & 2
     book = rules.ledger(awkward)
     assert book.count() == 10 and book.columns.count("n_words") == 1 and rules.ledger(nothing).count() == 0
-    for r in rules.ablation(book).collect():
-        assert r["failed"] >= r["failed_alone"]
+
+
+@pytest.mark.parametrize("own", [None, {"short": "n_words < 60", "long": "n_words > 30", "lines": "n_dup_lines > 0"}])
+def test_ablation_counts_what_each_rule_removes(spark, own):
+    book = rules.ledger(spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text"), rules=own)
+    names = list(own or rules.RULES)
+    masks = [r["ledger"] for r in book.select("ledger").collect()]
+    got = {r["rule"]: r for r in rules.ablation(book, "web-1", own).collect()}
+    assert list(got) == names
+    for i, name in enumerate(names):
+        r, bit = got[name], 1 << i
+        assert r["failed"] == sum(bool(m & bit) for m in masks) and r["failed_alone"] == sum(m == bit for m in masks)
+        assert r["kept_without"] == sum(not m & ~bit for m in masks)
+    assert book.where(rules.passes("web-1", own)).count() == masks.count(0)
+    some = rules.ablation(book, 3, own).collect()
+    assert [r["rule"] for r in some] == names[:2] and some[0]["kept_without"] == sum(not m & 2 for m in masks)
 
 
 # 4 licences
@@ -217,7 +259,13 @@ def test_edits_follow_the_next_document(spark, awkward, nothing, monkeypatch):
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         r = got[i]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
-        assert r["fingerprint"] == base64.b64encode(np.array([h for h, _ in brute_winnow(t)], "<u4").tobytes()).decode()
+        own, new, following = (brute_winnow(x) for x in (t, e, n))
+        for name, chosen in (("fingerprint", own), ("edited_fingerprint", new)):
+            h, p = winnow.read_digest(r[name])
+            assert list(zip(h.tolist(), p.tolist())) == chosen
+        for name, other in (("near_edited", new), ("near_next", following)):
+            a, b = {h for h, _ in own}, {h for h, _ in other}
+            assert abs(r[name] - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
     rows = winnow.compare_edits(awkward).collect()
     assert len(rows) == 10 and len({r["fingerprint"] for r in rows if r["doc_id"] == 6}) == 1
     assert winnow.compare_edits(nothing).count() == 0
@@ -225,6 +273,23 @@ def test_edits_follow_the_next_document(spark, awkward, nothing, monkeypatch):
     assert winnow.fingerprints(awkward).count() == 10
 
 
+def test_order_of_null_and_repeated_ids(spark, monkeypatch):
+    """An id, and rows without one, that fill several ranges."""
+    monkeypatch.setattr(winnow, "RANGE_ROWS", 7)
+    rows = [(5, f"five {k}") for k in range(40)] + [(None, f"none {k}") for k in range(30)] + [(k, f"own {k} of the text") for k in range(-20, 20)] + [(8, "same")] * 9
+    out = winnow.in_order(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["place"] for r in out}) > 12
+    places = {}
+    for r in sorted((r for r in out if not r["last"]), key=lambda r: r["place"]):
+        places.setdefault(r["place"], []).append((r["doc_id"], r["text"]))
+    got = [x for part in places.values() for x in part]
+    assert sorted(map(str, got)) == sorted(map(str, rows))
+    ids = [max((-99 if i is None else i) for i, _ in part) for part in places.values()]
+    assert ids == sorted(ids, reverse=True) and max(len(p) for p in places.values()) < 25
+    assert sorted(r["place"] for r in out if r["last"]) == sorted(places)
+    assert winnow.compare_edits(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+
+
 # 6 language
 
 
@@ -249,6 +314,39 @@ def test_masks_hold_every_language_of_a_gram():
     assert model.predict(["abd", "xyz", "123", "qqqq"])[0] == ["x", "y", "und", "x"]
 
 
+def brute_language(model, text):
+    """Counts of known n-grams by language, corrected for the share of false positives, one n-gram and language at a time."""
+    padded = [chr(c) for c in language._codes([text])[0]]
+    known, total = [0] * len(model.languages), 0
+    for n in language.SIZES:
+        for at in range(len(padded) - n + 1):
+            gram = padded[at : at + n]
+            if " " in gram[1:-1] or gram[0] == gram[-1] == " " or (n == 2 and gram == [" ", " "]):
+                continue
+            hashes, _ = language._grams(np.array([ord(c) for c in gram], np.uint32), n)
+            if not len(hashes):
+                continue
+            total += 1
+            cells = [int(p[0]) for p in language._positions(hashes)]
+            for k in range(len(known)):
+                known[k] += all(int(model.cells[k // 64][c]) >> (k % 64) & 1 for c in cells)
+    real = [max(0.0, (c - total * f) / (1 - f)) for c, f in zip(known, model.false_rate)]
+    if not any(ch.isalpha() for ch in text):
+        return "und", 0.0
+    if max(real) <= 0:
+        return model.languages[model.fallback], 0.0
+    return model.languages[real.index(max(real))], max(real) / sum(real)
+
+
+def test_predictions_equal_single_counts(spark):
+    docs = table("documents")
+    model = language.train([(t, lang) for t, lang in zip(docs["text"][:80], docs["lang"][:80]) if t and lang])
+    texts = [t[:400] for t in docs["text"][80:130] if t] + ["", "1 2 3", "a", "zzz qqq xxx"]
+    for text, name, score in zip(texts, *model.predict(texts)):
+        want = brute_language(model, text)
+        assert name == want[0] and abs(score - want[1]) < 1e-9
+
+
 def test_more_languages_than_bits_of_a_word(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     names = [f"l{k:03d}" for k in range(150)]  # the words of a language are over three letters of its own

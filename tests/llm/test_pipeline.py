@@ -82,7 +82,7 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
         (5, text("a")), (5, text("b")),  # an id twice, texts that are not linked
         (3, text("c")), (7, text("c") + " end"), (7, text("d")),  # one of two rows with id 7 is linked to a smaller id
         (None, text("e")), (None, text("f")), (None, text("f") + " end"), (None, text("c")),  # linked with each other, and with 3
-        (9, text("g")), (9, text("g")), (None, None), (None, ""), (11, text("h")),
+        (9, text("g")), (9, text("g")), (None, None), (None, ""), (11, text("h")), (12, ""), (12, ""),
     ]
     want = Counter(r for r in rows if r[1] not in (text("c") + " end", text("f"), text("f") + " end") and r != (None, text("c")))
     want[9, text("g")] = 1
@@ -92,3 +92,19 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     got = Counter((r["doc_id"], r["text"]) for r in out.collect())
     f = [got.pop((None, text("f") + end), 0) for end in ("", " end")]
     assert sorted(f) == [0, 1] and got == want
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that bear the names of measurements, of bookkeeping or of results come out as they went in."""
+    plain = lambda k: " ".join(f"{w}{k}" if i % 3 else w for i, w in enumerate("some plain words that go on about nothing much at all as plain words do when nobody minds them and more of it".split()))
+    names = ["n_words", "ledger", "__tie", "key", "document", "each", "copy", "rows", "n", "tie", "size", "part", "component_id", "a.b"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in names)
+    docs = spark.createDataFrame([(k, plain(k), "en", "s", 0, *(1000 * k + i for i in range(len(names)))) for k in range(6)], schema)
+    for repeated in (False, True):
+        start = docs.unionByName(docs.where("doc_id = 3")) if repeated else docs
+        for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_duplicates, corpus_pipeline.mix_sources):
+            out = stage(spark, start, SMALL)
+            assert out.columns == docs.columns
+            rows = out.collect()
+            assert {r["doc_id"] for r in rows} == set(range(6))
+            assert all(r[c] == 1000 * r["doc_id"] + i for r in rows for i, c in enumerate(names))
