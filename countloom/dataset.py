@@ -12,6 +12,7 @@ from enum import Enum
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -104,3 +105,42 @@ def from_wide(wide: DataFrame, gene_column: str = "gene_id", **more: Any) -> Cou
     long = wide.unpivot([gene_column], cells, "cell_id", "value").withColumnRenamed(gene_column, "gene_id")
     spark = wide.sparkSession
     return from_tables(long.withColumn("value", F.col("value").cast("double")), spark.createDataFrame([(c,) for c in cells], "cell_id string"), wide.select(F.col(gene_column).alias("gene_id")), **more)
+
+
+def from_container(
+    raw: DataFrame, metadata: DataFrame | None = None, genes: DataFrame | None = None, detection_limit: float = 0.0, logged: bool = False, offset: float = 1.0, import_all: bool = False, **side: Any
+) -> CountSet:
+    """From another container's parts: raw values (gene_id, cell_id, value), cell and gene tables.
+
+    Logged values are taken back (2^x - offset); cells that the metadata lacks are dropped; gene_short_name is the key unless a gene table has it; the
+    family follows from the values.  With ``import_all`` further parts (such as reductions, clusters, variable genes) are kept as side data.
+    """
+    if logged:
+        raw = raw.withColumn("value", F.round(F.pow(F.lit(2.0), F.col("value")) - offset, 9))
+    expr = raw.where("value <> 0")
+    cells = expr.select("cell_id").distinct() if metadata is None else metadata
+    expr = expr.join(cells.select("cell_id"), "cell_id", "left_semi").select("gene_id", "cell_id", "value")
+    genes = raw.select("gene_id").distinct() if genes is None else genes
+    if "gene_short_name" not in genes.columns:
+        genes = genes.withColumn("gene_short_name", F.col("gene_id").cast("string"))
+    return CountSet(expr, cells, genes, infer_family(expr), detection_limit, dict(side) if import_all else {})
+
+
+def first_per(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key in the order of further columns."""
+    turn = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    return df.withColumn("turn_of_key", turn).where("turn_of_key = 1").drop("turn_of_key")
+
+
+def pick(df: DataFrame, key: str, wanted: list) -> DataFrame:
+    """Rows of ``df`` for each of ``wanted``, with ``position`` in that list; repeats repeat, keys without a row have nulls."""
+    kind = df.schema[key].dataType.simpleString()
+    positions = df.sparkSession.createDataFrame(list(enumerate(wanted)), f"position int, {key} {kind}")
+    return F.broadcast(positions).join(df, key, "left")  # a list from the caller
+
+
+#: Gene names that mark muscle cells.
+MUSCLE_MARKERS = [
+    "MEF2C", "MEF2D", "MYF5", "ANPEP", "PDGFRA", "MYOG", "TPM1", "TPM2", "MYH2", "MYH3", "NCAM1", "TNNT1", "TNNT2", "TNNC1",
+    "CDK1", "CDK2", "CCNB1", "CCNB2", "CCND1", "CCNA1", "ID1",
+]

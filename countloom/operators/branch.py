@@ -7,7 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..dataset import CountSet
+from ..store import cut
+from . import difftest
+from .dispersion import Curve
 from .graph import Adjacency, path
+from .normalize import stabilized
+
+FULL, REDUCED = "~sm.ns(Pseudotime, df=3)*Branch", "~sm.ns(Pseudotime, df=3)"
 
 
 def branch_paths(tree: Adjacency, root: int, branch_point: int | None = None, tips: list[int] | None = None) -> list[list[int]]:
@@ -80,6 +86,68 @@ def branch_set(cs: CountSet, cells: DataFrame, method: str = "sequential_split",
     return cs.with_(cells=new, expr=expr.select("gene_id", "cell_id", "value"))
 
 
+def branch_cells(cells: DataFrame, tree: Adjacency, root: int, branch_point: int | None = None, tips: list[int] | None = None, vertex: str = "vertex") -> DataFrame:
+    """``cells`` (cell_id, pseudotime, vertex) of two branches of a principal tree, with branch (0, 1) and progenitor (on both paths, or before the split)."""
+    paths = branch_paths(tree, root, branch_point, tips)
+    shared = set(paths[0]) & set(paths[1])
+    places = [(v, k, v in shared) for k, way in enumerate(paths) for v in way if k == 0 or v not in shared]
+    places = F.broadcast(cells.sparkSession.createDataFrame(places, f"{vertex} long, branch long, progenitor boolean"))  # the tree's vertices
+    return cells.drop("branch", "progenitor").join(places, vertex).select("cell_id", "branch", "pseudotime", "progenitor")
+
+
+def model_set(cs: CountSet, cells: DataFrame, method: str, stretched: bool) -> CountSet:
+    """``branch_set`` as stored tables with the names that formulas use."""
+    both = branch_set(cs, cells, method, stretched)
+    renamed = both.cells.withColumnsRenamed({"pseudotime": "Pseudotime", "branch": "Branch"})
+    return both.with_(cells=cut(renamed), expr=cut(both.expr))  # read by each step of a fit
+
+
+def branch_test(cs: CountSet, cells: DataFrame, full: str = FULL, reduced: str = REDUCED, curve: Curve | None = None, method: str = "sequential_split", stretched: bool = True) -> DataFrame:
+    """Likelihood-ratio test by gene of two formulas over the cells (cell_id, branch, pseudotime, progenitor) of two branches; without ``Branch`` in the
+    formulas over the cells of ``cs`` as they are."""
+    if "Branch" in difftest.variables(full, reduced):
+        cs = model_set(cs, cells, method, stretched)
+    return difftest.regression_test(cs, full, reduced, curve)
+
+
+def beam(cs: CountSet, cells: DataFrame, full: str = FULL, reduced: str = REDUCED, curve: Curve | None = None, method: str = "sequential_split") -> DataFrame:
+    """``branch_test`` (gene_id, status, family, pval, qval) with the genes' attributes."""
+    test = branch_test(cs, cells, full, reduced, curve, method).select("gene_id", "status", "family", "pval", "qval")
+    return test.join(cs.genes.drop("status", "family", "pval", "qval"), "gene_id")
+
+
+def fitted_curves(cs: CountSet, cells: DataFrame, num: int = 100, formula: str = FULL, curve: Curve | None = None, stretched: bool = True, method: str = "duplicate") -> DataFrame:
+    """(gene_id, grid_idx, a, b): the branch model's curves of both branches at ``num`` places from 0 to the greatest pseudotime."""
+    import numpy as np
+    import pandas as pd
+
+    both = model_set(cs, cells, method, stretched)
+    end = both.cells.agg(F.max("Pseudotime")).first()[0]
+    at = np.linspace(0, end, num)
+    grid = pd.DataFrame({"Pseudotime": np.tile(at, 2), "Branch": ["0"] * num + ["1"] * num})
+    rows = difftest.smooth_curves(both, formula, grid, curve)
+    value = lambda first: F.max(F.when((F.col("grid_idx") < num) == first, F.col("value")))
+    rows = rows.groupBy("gene_id", (F.col("grid_idx") % num).alias("grid_idx"))
+    return rows.agg(value(True).alias("a"), value(False).alias("b")).where("a is not null and b is not null")
+
+
+def areas(cs: CountSet, cells: DataFrame, num: int = 5000, formula: str = FULL, curve: Curve | None = None) -> DataFrame:
+    """Signed areas between the fitted curves of the branches (pseudotime from 0 to 100), with the genes' attributes."""
+    return area_between(fitted_curves(cs, cells, num, formula, curve), 100.0 / (num - 1)).join(cs.genes, "gene_id")
+
+
+def log_ratios(cs: CountSet, cells: DataFrame, num: int = 100, limit: float | None = 3.0, variance_stabilized: bool = False, formula: str = FULL, curve: Curve | None = None) -> DataFrame:
+    """(gene_id, grid_idx, ilr) of the fitted curves: log2 ratios, or differences of variance-stabilised values, clipped to +-limit."""
+    curves = fitted_curves(cs, cells, num, formula, curve)
+    if not variance_stabilized:
+        return log_ratio(curves, limit)
+    if curve is None:
+        raise ValueError("variance stabilisation needs a dispersion curve")
+    d = stabilized(F.col("a"), curve.a, curve.e) - stabilized(F.col("b"), curve.a, curve.e)
+    d = d if limit is None else F.greatest(F.lit(-limit), F.least(F.lit(limit), d))
+    return curves.select("gene_id", "grid_idx", d.alias("ilr"))
+
+
 def area_between(curves: DataFrame, width: float) -> DataFrame:
     """(gene_id, abc): the signed area between the curves (gene_id, grid_idx, a, b) by trapezoids of ``width``, to 3 places."""
     w = W.partitionBy("gene_id").orderBy("grid_idx")
@@ -100,6 +168,14 @@ def divergence(ilr: DataFrame) -> DataFrame:
     return ilr.groupBy("gene_id").agg(F.max(F.abs("ilr")).alias("divergence"))
 
 
+def divergences(curves: DataFrame, limit: float = 3.0) -> DataFrame:
+    """(gene_id, raw, normalized, ratio): greatest absolute difference of the curves, that over the curves' greatest value, and the greatest absolute clipped
+    log ratio."""
+    d, top = F.max(F.abs(F.col("a") - F.col("b"))), F.max(F.greatest("a", "b"))
+    plain = curves.groupBy("gene_id").agg(d.alias("raw"), F.when(top > 0, d / top).otherwise(0.0).alias("normalized"))
+    return plain.join(divergence(log_ratio(curves, limit)).withColumnRenamed("divergence", "ratio"), "gene_id")
+
+
 def bifurcation_point(ilr: DataFrame, threshold: float = 0.1, cross_only: bool = True) -> DataFrame:
     """(gene_id, point): the last sign change before the greatest absolute log ratio, with the sign of the ratios' sum; null if there
     is none.  Without ``cross_only`` the first index from there to the greatest whose ratio is above the threshold."""

@@ -15,7 +15,8 @@ from ..dataset import CountSet, Family
 from ..functions.stats import bh_adjust, chi2_tail, round_half_even, xlogy
 from .dispersion import Curve
 
-NOT_FINITE = "Error: Inf, NaN, or NA values were located in pData of cds in columns mentioned in model terms"
+NOT_FINITE = "the cell attributes of the model terms have null, NaN or infinite values"
+NO_SIZE_FACTORS = "cells lack size factors: run normalize.with_size_factors first"
 
 
 def responses(cs: CountSet) -> DataFrame:
@@ -26,6 +27,18 @@ def responses(cs: CountSet) -> DataFrame:
     return cs.expr.join(f, "cell_id").select("gene_id", "cell_id", round_half_even(F.col("value") / F.col("size_factor")).alias("y"))
 
 
+def refuse_missing(cells: DataFrame, names: list[str]) -> None:
+    """Raises if an attribute of a model term is null or not finite in any cell (one aggregate)."""
+    kinds = dict(cells.dtypes)
+    bad = F.lit(False)
+    for v in names:
+        bad = bad | F.col(v).isNull()
+        if kinds[v] in ("double", "float"):
+            bad = bad | F.isnan(v) | (F.abs(F.col(v)) == math.inf)
+    if cells.agg(F.bool_or(bad)).first()[0]:
+        raise ValueError(NOT_FINITE)
+
+
 def likelihood_ratio(cs: CountSet, factor: str, hints: DataFrame | None = None) -> DataFrame:
     """(gene_id, lr) of ``~ factor`` against ``~ 1``.
 
@@ -59,7 +72,11 @@ def likelihood_ratio(cs: CountSet, factor: str, hints: DataFrame | None = None)
 
 
 def differential_test(cs: CountSet, factor: str, hints: DataFrame | None = None) -> DataFrame:
-    """(gene_id, status, family, lr, pval, qval) for every gene; without a fit FAIL with p and q of 1."""
+    """(gene_id, status, family, lr, pval, qval) for every gene; without a fit FAIL with p and q of 1.
+
+    Cells without a level are an error, as in the regressions: drop them first.
+    """
+    refuse_missing(cs.cells, [factor])
     levels = cs.cells.select(factor).distinct().count()
     lr = likelihood_ratio(cs, factor, hints).withColumn("pval", chi2_tail(F.col("lr"), max(1, levels - 1)))
     rows = cs.genes.select("gene_id").join(lr, "gene_id", "left")
@@ -169,11 +186,18 @@ class Design:
         return np.column_stack(columns)
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln gamma(x) of each distinct value once."""
+    values, at = np.unique(x, return_inverse=True)
+    return np.array([math.lgamma(v) for v in values])[at]
+
+
 def log_likelihood(family: str, y: np.ndarray, mu: np.ndarray, size: float = 1.0) -> float:
-    """Up to terms that do not depend on the mean."""
+    """Up to terms that depend on the responses alone.  Sizes that are fitted differ between models, so their terms belong to it."""
     mu = np.maximum(mu, 1e-12)
     if family in (Family.NB_SIZE.value, Family.NB.value):
-        return float(np.sum(y * np.log(mu) - (y + size) * np.log(mu + size)) + len(y) * size * math.log(size))
+        free = float(np.sum(log_gamma(y + size))) - len(y) * math.lgamma(size) if family == Family.NB.value else 0.0
+        return float(np.sum(y * np.log(mu) - (y + size) * np.log(mu + size)) + len(y) * size * math.log(size)) + free
     if family == Family.BINOMIAL.value:
         m = np.clip(mu, 1e-12, 1 - 1e-12)
         return float(np.sum(y * np.log(m) + (1 - y) * np.log(1 - m)))
@@ -207,15 +231,61 @@ def regress(x: np.ndarray, y: np.ndarray, family: str, size: float = 1.0, steps:
     return b, ll
 
 
+def _normal_tail(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the normal distribution function at u, and its slope."""
+    deep = u < -30
+    v = np.where(deep, -30.0, u)
+    below = np.array([math.erfc(-a / math.sqrt(2)) / 2 for a in v])
+    log_below = np.where(deep, -u * u / 2 - np.log(np.maximum(-u, 1) * math.sqrt(2 * math.pi)), np.log(below))
+    slope = np.exp(-u * u / 2 - log_below) / math.sqrt(2 * math.pi)
+    return log_below, slope
+
+
+def censored(x: np.ndarray, y: np.ndarray, limit: float, steps: int = 100) -> tuple[np.ndarray, float, float]:
+    """Coefficients, log-likelihood and deviation of a normal response that is only known to lie at or below ``limit`` where ``y`` does.
+
+    Newton's method in coefficients over deviation and one over deviation, in which the likelihood is concave.
+    """
+    low = y <= limit
+    free_x, free_y, low_x = x[~low], y[~low], x[low]
+    d = x.shape[1]
+    b = np.linalg.lstsq(x, np.where(low, limit, y), rcond=None)[0]
+    scale = max(float(np.std(np.where(low, limit, y) - x @ b)), 1e-3)
+    at = np.append(b / scale, 1 / scale)
+
+    def value(a: np.ndarray) -> float:
+        if a[d] <= 0:
+            return -math.inf
+        r = a[d] * free_y - free_x @ a[:d]
+        return float(len(free_y) * (math.log(a[d]) - 0.5 * math.log(2 * math.pi)) - 0.5 * (r @ r) + _normal_tail(a[d] * limit - low_x @ a[:d])[0].sum())
+
+    best = value(at)
+    for _ in range(steps):
+        r, u = at[d] * free_y - free_x @ at[:d], at[d] * limit - low_x @ at[:d]
+        slope = _normal_tail(u)[1]
+        bend = -slope * (u + slope)
+        first = np.append(free_x.T @ r - low_x.T @ slope, len(free_y) / at[d] - r @ free_y + limit * slope.sum())
+        cross = free_x.T @ free_y - limit * (low_x.T @ bend)
+        second = np.zeros((d + 1, d + 1))
+        second[:d, :d] = -free_x.T @ free_x + (low_x * bend[:, None]).T @ low_x
+        second[:d, d] = second[d, :d] = cross
+        second[d, d] = -len(free_y) / at[d] ** 2 - free_y @ free_y + limit * limit * bend.sum()
+        step = -np.linalg.lstsq(second, first, rcond=None)[0]
+        size = 1.0
+        while size > 1e-8 and not value(at + size * step) >= best:
+            size /= 2
+        new = value(at + size * step)
+        if size <= 1e-8 or new - best < 1e-10 * (1 + abs(best)):
+            break
+        at, best = at + size * step, new
+    return at[:d] / at[d], best, 1 / at[d]
+
+
 def free_size(x: np.ndarray, y: np.ndarray) -> float:
     """Negative binomial size that maximises the profile likelihood, by golden section over its logarithm."""
-    lg = np.vectorize(math.lgamma)
 
     def at(logk: float) -> float:
-        k = math.exp(logk)
-        b, _ = regress(x, y, Family.NB.value, k)
-        mu = np.exp(np.clip(x @ b, -30, 30))
-        return float(np.sum(lg(y + k) - math.lgamma(k) + k * math.log(k) + y * np.log(mu) - (y + k) * np.log(mu + k)))
+        return regress(x, y, Family.NB.value, math.exp(logk))[1]
 
     low, high, g = math.log(1e-2), math.log(1e4), (math.sqrt(5) - 1) / 2
     for _ in range(40):
@@ -224,25 +294,30 @@ def free_size(x: np.ndarray, y: np.ndarray) -> float:
     return math.exp((low + high) / 2)
 
 
+#: Cells whose attributes are broadcast to the fits (under 100 bytes each for a few model terms).
+DESIGN_CELLS = 5_000_000
 FITS = "gene_id {kind}, status string, family string, coef array<double>, loglik double, df int, size double"
 
 
 def _covariates(cs: CountSet, names: list[str]) -> pd.DataFrame:
-    """Cell attributes of the model terms on the driver: one row a cell, as every fit needs the whole design."""
+    """Cell attributes of the model terms on the driver: one row of a few numbers a cell, as every fit needs the whole design.
+
+    More than ``DESIGN_CELLS`` cells are an error: use a factor (closed form, any number of cells) or bins of the covariates.
+    """
+    refuse_missing(cs.cells, names)
+    if (n := cs.cells.count()) > DESIGN_CELLS:
+        raise ValueError(f"{n} cells: regressions by gene take {DESIGN_CELLS} at most; use a factor or bin the covariates")
     wanted = ["cell_id", *names, *(["size_factor"] if "size_factor" in cs.cells.columns else [])]
     cells = cs.cells.select(*wanted).toPandas().sort_values("cell_id", ignore_index=True)
-    for v in names:
-        col = cells[v]
-        if col.isna().any() or pd.api.types.is_float_dtype(col) and not np.isfinite(col).all():
-            raise ValueError(NOT_FINITE)
     if cs.family.counts and ("size_factor" not in cells or cells["size_factor"].isna().any()):
-        raise ValueError("NAs found in size factors. Have you called 'estimateSizeFactors'?")
+        raise ValueError(NO_SIZE_FACTORS)
     return cells
 
 
-def apply_by_gene(cs: CountSet, fn, schema: str, names: list[str], dense: bool = True) -> DataFrame:
+def apply_by_gene(cs: CountSet, fn, schema: str, names: list[str], cells: pd.DataFrame | None = None) -> DataFrame:
     """``fn(gene_id, y, cells)`` for every gene with a value: y has the zeros filled in, cells the named attributes."""
-    cells = _covariates(cs.with_(family=Family.GAUSSIAN) if "size_factor" not in cs.cells.columns else cs, names)
+    if cells is None:
+        cells = _covariates(cs.with_(family=Family.GAUSSIAN) if "size_factor" not in cs.cells.columns else cs, names)
     shared = cs.expr.sparkSession.sparkContext.broadcast(cells)
     kind = cs.expr.schema["gene_id"].dataType.simpleString()
 
@@ -256,11 +331,12 @@ def apply_by_gene(cs: CountSet, fn, schema: str, names: list[str], dense: bool =
     return cs.expr.select("gene_id", "cell_id", "value").groupBy("gene_id").applyInPandas(run, schema.replace("{kind}", kind))
 
 
-def fit_models(cs: CountSet, formula: str, curve: Curve | None = None) -> DataFrame:
-    """One fit per gene: status, coefficients, log-likelihood, degrees of freedom."""
+def fit_models(cs: CountSet, formula: str, curve: Curve | None = None, cells: pd.DataFrame | None = None) -> DataFrame:
+    """One fit per gene: status, coefficients, log-likelihood, degrees of freedom.  ``cells`` are covariates that the caller has at hand."""
     names, family = variables(formula), cs.family.value
-    design = Design.of(formula, _covariates(cs, names))
-    limit = cs.detection_limit
+    cells = _covariates(cs, names) if cells is None else cells
+    design = Design.of(formula, cells)
+    limit = math.log10(cs.detection_limit)
 
     def run(gene, y: np.ndarray, cells: pd.DataFrame) -> pd.DataFrame:
         x, size, raw = design.matrix(cells), 1.0, y
@@ -271,9 +347,12 @@ def fit_models(cs: CountSet, formula: str, curve: Curve | None = None) -> DataFr
             if family == Family.NB.value:
                 size = free_size(x, y)
         elif family == Family.TOBIT.value:
-            y = np.log10(np.maximum(y, limit))  # censored at the detection limit
+            y = np.log10(np.maximum(y, 10.0**limit))
         try:
-            b, ll = regress(x, y, family, size)
+            if family == Family.TOBIT.value:
+                b, ll, size = censored(x, y, limit)
+            else:
+                b, ll = regress(x, y, family, size)
             ok = np.isfinite(ll) and np.isfinite(b).all()
         except np.linalg.LinAlgError:
             ok = False
@@ -281,14 +360,14 @@ def fit_models(cs: CountSet, formula: str, curve: Curve | None = None) -> DataFr
             return pd.DataFrame([(gene, "FAIL", family, None, None, None, None)], columns=["gene_id", "status", "family", "coef", "loglik", "df", "size"])
         return pd.DataFrame([(gene, "OK", family, b.tolist(), ll, int(np.linalg.matrix_rank(x)), size)], columns=["gene_id", "status", "family", "coef", "loglik", "df", "size"])
 
-    return apply_by_gene(cs, run, FITS, names)
+    return apply_by_gene(cs, run, FITS, names, cells)
 
 
 def regression_test(cs: CountSet, full: str, reduced: str, curve: Curve | None = None) -> DataFrame:
     """Likelihood-ratio test of two formulas by gene, corrected over the genes that could be fitted."""
-    a = fit_models(cs, full, curve).where("status = 'OK'").select("gene_id", F.col("loglik").alias("l1"), F.col("df").alias("d1"))
-    b = fit_models(cs, reduced, curve).where("status = 'OK'").select("gene_id", F.col("loglik").alias("l0"), F.col("df").alias("d0"))
     cells = _covariates(cs, variables(full, reduced))
+    a = fit_models(cs, full, curve, cells).where("status = 'OK'").select("gene_id", F.col("loglik").alias("l1"), F.col("df").alias("d1"))
+    b = fit_models(cs, reduced, curve, cells).where("status = 'OK'").select("gene_id", F.col("loglik").alias("l0"), F.col("df").alias("d0"))
     gap = int(np.linalg.matrix_rank(Design.of(full, cells).matrix(cells)) - np.linalg.matrix_rank(Design.of(reduced, cells).matrix(cells)))
     lr = a.join(b, "gene_id").select("gene_id", F.greatest(F.lit(0.0), 2 * (F.col("l1") - F.col("l0"))).alias("lr"))
     rows = cs.genes.select("gene_id").join(lr, "gene_id", "left")
@@ -297,24 +376,31 @@ def regression_test(cs: CountSet, full: str, reduced: str, curve: Curve | None =
 
 
 def predict(fits: DataFrame, rows: np.ndarray, family: Family) -> DataFrame:
-    """(gene_id, grid_idx, value): fitted responses at the rows of a design matrix."""
-    grid = F.array(*[F.struct(F.lit(i).alias("grid_idx"), F.array(*[F.lit(float(v)) for v in r]).alias("x")) for i, r in enumerate(rows)])
-    long = fits.where("status = 'OK'").select("gene_id", "coef", F.explode(grid).alias("g"))
-    eta = F.aggregate(F.zip_with("coef", F.col("g.x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    """(gene_id, grid_idx, value): fitted responses at the rows of a design matrix; null for genes whose fit failed."""
+    grid = fits.sparkSession.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "grid_idx int, x array<double>")
+    long = fits.select("gene_id", F.when(F.col("status") == "OK", F.col("coef")).alias("coef")).crossJoin(F.broadcast(grid))  # the caller's grid
+    eta = F.aggregate(F.zip_with("coef", "x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     value = F.exp(eta) if family.counts else 1 / (1 + F.exp(-eta)) if family is Family.BINOMIAL else F.pow(F.lit(10.0), eta) if family is Family.TOBIT else eta
-    return long.select("gene_id", F.col("g.grid_idx").alias("grid_idx"), value.alias("value"))
+    return long.select("gene_id", "grid_idx", value.alias("value"))
 
 
 def smooth_curves(cs: CountSet, formula: str, grid: pd.DataFrame, curve: Curve | None = None) -> DataFrame:
     """Fit by gene and evaluate on the grid of covariates."""
-    design = Design.of(formula, _covariates(cs, variables(formula)))
-    return predict(fit_models(cs, formula, curve), design.matrix(grid), cs.family)
+    cells = _covariates(cs, variables(formula))
+    return predict(fit_models(cs, formula, curve, cells), Design.of(formula, cells).matrix(grid), cs.family)
+
 
+def fitted_values(cs: CountSet, formula: str, curve: Curve | None = None) -> DataFrame:
+    """(gene_id, cell_id, value): fitted mean of every gene in every cell."""
+    return residuals(cs, formula, curve, fitted=True)
 
-def residuals(cs: CountSet, formula: str, curve: Curve | None = None) -> DataFrame:
-    """(gene_id, cell_id, value): response minus fitted mean."""
+
+def residuals(cs: CountSet, formula: str, curve: Curve | None = None, fitted: bool = False) -> DataFrame:
+    """(gene_id, cell_id, value): response minus fitted mean, or the fitted mean."""
     names, family = variables(formula), cs.family.value
-    design = Design.of(formula, _covariates(cs, names))
+    covariates = _covariates(cs, names)
+    design = Design.of(formula, covariates)
+    limit = math.log10(cs.detection_limit)
     kind = cs.expr.schema["cell_id"].dataType.simpleString()
 
     def run(gene, y: np.ndarray, cells: pd.DataFrame) -> pd.DataFrame:
@@ -324,11 +410,14 @@ def residuals(cs: CountSet, formula: str, curve: Curve | None = None) -> DataFra
             mean = np.rint(y).mean()
             size = 1 / (curve.a + curve.e / mean) if curve and mean > 0 else 1.0
             y = np.rint(y / cells["size_factor"].to_numpy())
-        b, _ = regress(x, y, family, size)
+            size = free_size(x, y) if family == Family.NB.value else size
+        elif family == Family.TOBIT.value:
+            y = np.log10(np.maximum(y, 10.0**limit))
+        b = censored(x, y, limit)[0] if family == Family.TOBIT.value else regress(x, y, family, size)[0]
         mu = np.exp(np.clip(x @ b, -30, 30)) if counts else 1 / (1 + np.exp(-x @ b)) if family == Family.BINOMIAL.value else x @ b
-        return pd.DataFrame({"gene_id": gene, "cell_id": cells["cell_id"], "value": y - mu})
+        return pd.DataFrame({"gene_id": gene, "cell_id": cells["cell_id"], "value": mu if fitted else y - mu})
 
-    return apply_by_gene(cs, run, f"gene_id {{kind}}, cell_id {kind}, value double", names)
+    return apply_by_gene(cs, run, f"gene_id {{kind}}, cell_id {kind}, value double", names, covariates)
 
 
 def level_count(cells: DataFrame, factor: str) -> Column:

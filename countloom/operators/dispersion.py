@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import CountSet
 from ..functions.stats import round_half_even
-from ..store import cut
 
 
 @dataclass(frozen=True)
@@ -49,45 +50,65 @@ def grouped_moments(cs: CountSet, by: list[str], min_cells: int = 1) -> DataFram
     return out
 
 
+def _sums(rows: pd.DataFrame, fit: np.ndarray) -> tuple[float, ...]:
+    w, x, y = 1 / fit**2, 1 / rows["mu"].to_numpy(), rows["disp"].to_numpy()
+    return tuple(float((w * c).sum()) for c in (1.0, x, x * x, y, x * y))
+
+
+def _steps(rows: pd.DataFrame, a: float, e: float, most: int) -> tuple[float, float, np.ndarray]:
+    """Fisher scoring of disp on 1 / mu (gamma, identity link) and which rows were in the last step."""
+    good = np.ones(len(rows), bool)
+    for _ in range(most):
+        fit = a + e / rows["mu"].to_numpy()
+        ratio = rows["disp"].to_numpy() / fit
+        good = (ratio > 1e-6) & (ratio < 1e4)
+        s = _sums(rows[good], fit[good])
+        det = s[0] * s[2] - s[1] ** 2
+        if not det:
+            break
+        new = max((s[2] * s[3] - s[1] * s[4]) / det, 1e-6), (s[0] * s[4] - s[1] * s[3]) / det
+        if new[1] < 0:
+            raise ValueError("the dispersion curve has a negative part; try another set of genes")
+        moved = math.log(new[0] / a) ** 2 + math.log(max(new[1], 1e-300) / max(e, 1e-300)) ** 2
+        a, e = new
+        if moved < 1e-6:
+            break
+    return a, e, good
+
+
 def fit_curve(table: DataFrame, most: int = 11, remove_outliers: bool = True) -> Curve:
-    """Gamma regression with identity link of disp on 1 / mu by Fisher scoring.
+    """Gamma regression with identity link of disp on 1 / mu by Fisher scoring, in one task: two numbers a gene.
 
-    Each step needs five sums over the genes, made by Spark; only those come to the driver.  Genes whose dispersion is below
-    1e-6 or above 1e4 times the current curve are left out of a step.  Then genes with a large Cook's distance are removed and
-    the fit is made once more.
+    Genes whose dispersion is below 1e-6 or above 1e4 times the current curve are left out of a step.  Then genes that the last step left
+    out, or with a Cook's distance above 4 over the number of genes, are removed and the fit is made once more.
     """
-    table = cut(table.where("disp > 0").select("mu", "disp"))  # two numbers a gene, read by every step
-
-    def steps(rows: DataFrame, a: float, e: float) -> tuple[float, float]:
-        for _ in range(most):
-            fit = a + e / F.col("mu")
-            good = rows.where((F.col("disp") / fit > 1e-6) & (F.col("disp") / fit < 1e4))
-            w, x, y = 1 / (fit * fit), 1 / F.col("mu"), F.col("disp")
-            s = good.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in (w, w * x, w * x * x, w * y, w * x * y)]).first()
-            det = s[0] * s[2] - s[1] ** 2
-            if not det:
-                break
-            new = max((s[2] * s[3] - s[1] * s[4]) / det, 1e-6), (s[0] * s[4] - s[1] * s[3]) / det
-            if new[1] < 0:
-                raise ValueError("the dispersion curve has a negative part; try another set of genes")
-            moved = math.log(new[0] / a) ** 2 + math.log(max(new[1], 1e-300) / max(e, 1e-300)) ** 2
-            a, e = new
-            if moved < 1e-6:
-                break
-        return a, e
-
-    a, e = steps(table, 0.1, 1.0)
-    if remove_outliers:
-        fit = a + e / F.col("mu")
-        w, x = 1 / (fit * fit), 1 / F.col("mu")
-        s = table.agg(F.sum(w), F.sum(w * x), F.sum(w * x * x), F.count("*")).first()
-        det = s[0] * s[2] - s[1] ** 2
-        if det:
-            hat = w * (s[2] - 2 * x * s[1] + x * x * s[0]) / det
-            residual = (F.col("disp") - fit) / fit
-            cook = residual * residual * hat / (2 * (1 - hat) * (1 - hat))
-            a, e = steps(table.where(cook <= 4 / s[3]), a, e)
-    return Curve(a, e)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"mu": [], "disp": []}), *batches], ignore_index=True)
+        rows = rows.sort_values(["mu", "disp"], ignore_index=True)
+        if not len(rows):
+            return
+        try:
+            a, e, good = _steps(rows, 0.1, 1.0, most)
+            if remove_outliers:
+                fit = a + e / rows["mu"].to_numpy()
+                s = _sums(rows, fit)
+                det = s[0] * s[2] - s[1] ** 2
+                if det:
+                    w, x = 1 / fit**2, 1 / rows["mu"].to_numpy()
+                    hat = w * (s[2] - 2 * x * s[1] + x * x * s[0]) / det
+                    cook = ((rows["disp"].to_numpy() - fit) / fit) ** 2 * hat / (2 * (1 - hat) ** 2)
+                    a, e, _ = _steps(rows[(cook <= 4 / len(rows)) & good], a, e, most)
+            yield pd.DataFrame({"a": [a], "e": [e], "error": [""]})
+        except ValueError as error:
+            yield pd.DataFrame({"a": [0.0], "e": [0.0], "error": [str(error)]})
+
+    found = table.where("disp > 0").select("mu", "disp").repartition(1).mapInPandas(run, "a double, e double, error string").collect()
+    if not found:
+        return Curve(0.1, 1.0)
+    if found[0]["error"]:
+        raise ValueError(found[0]["error"])
+    return Curve(found[0]["a"], found[0]["e"])
 
 
 def dispersion_table(table: DataFrame, curve: Curve) -> DataFrame:
@@ -124,7 +145,6 @@ def kde_mode(values: np.ndarray, grid: int = 512) -> float:
 
 def most_frequent(cs: CountSet, least: float = 0.1) -> DataFrame:
     """(cell_id, t): 10 to the mode of log10 of each cell's values above ``least``."""
-    import pandas as pd
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cell_id": [key[0]], "t": [10 ** kde_mode(np.log10(rows["value"].to_numpy()))]})

@@ -22,6 +22,28 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), float)
 
 
+def near_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows by one matrix product; exact but for rounding."""
+    return np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T)
+
+
+def nearest(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row of x the k nearest rows of y with another id, ties by id, and their distances.
+
+    Candidates come from one matrix product; all that rounding could put among the k are compared by exact distances.
+    """
+    d2 = near_distances(x, y)
+    d2[own[:, None] == ids] = np.inf
+    slack = 1e-9 * ((x**2).sum(1) + (y**2).sum(1).max())
+    edge = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
+    for i in range(len(x)):
+        some = np.flatnonzero(d2[i] <= edge[i] + slack[i])
+        some = some[np.isfinite(d2[i][some])]
+        d = np.sqrt(((y[some] - x[i]) ** 2).sum(1))
+        best = np.lexsort((ids[some], d))[:k]
+        yield some[best], d[best]
+
+
 def neighbours(points: DataFrame, k: int) -> DataFrame:
     """(id, neighbour, d, turn): the k nearest other points, ties by id.
 
@@ -44,14 +66,11 @@ def neighbours(points: DataFrame, k: int) -> DataFrame:
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out = {"id": [], "neighbour": [], "d": []}
         if len(a) and len(b):
-            for i in a:
-                d = np.sqrt(((x[b] - x[i]) ** 2).sum(1))
-                d[ids[b] == ids[i]] = np.inf
-                best = np.lexsort((ids[b], d))[:k]
-                best = best[np.isfinite(d[best])]
-                out["id"] += [ids[i]] * len(best)
-                out["neighbour"] += ids[b][best].tolist()
-                out["d"] += d[best].tolist()
+            for at in range(0, len(a), 256):
+                for i, (best, d) in zip(a[at : at + 256], nearest(x[a[at : at + 256]], ids[a[at : at + 256]], x[b], ids[b], k)):
+                    out["id"] += [ids[i]] * len(best)
+                    out["neighbour"] += ids[b][best].tolist()
+                    out["d"] += d.tolist()
         return pa.table({"id": pa.array(out["id"], pa.int64()), "neighbour": pa.array(out["neighbour"], pa.int64()), "d": pa.array(out["d"], pa.float64())})
 
     found = left.unionByName(right).groupBy("row", "col").applyInArrow(run, "id long, neighbour long, d double")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..dataset import CountSet, Family
 from ..functions.stats import ln0, round_half_even
 from . import qc
 
-METHODS = ("mean-geometric-mean-total", "geometric-mean-total", "weighted-median", "median-geometric-mean", "median")
+METHODS = ("mean-geometric-mean-total", "geometric-mean-total", "weighted-median", "median-geometric-mean", "median", "mode")
 
 
 def rounded(cs: CountSet) -> CountSet:
@@ -19,16 +23,30 @@ def rounded(cs: CountSet) -> CountSet:
 def padded_median(values: DataFrame, key: str, n: Column, value: str = "value") -> DataFrame:
     """Median per key of ``n`` non-negative values of which the missing ones are zero.
 
-    With k stored values the padded median is an order statistic of the stored ones: the zeros take the first n - k ranks.
+    With k stored values the padded median is an order statistic of the stored ones: the zeros take the first n - k ranks.  Ranks come
+    from a histogram of each key's distinct values, so no key's values are gathered.
     """
-    stored = values.where(F.col(value) > 0).groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("v"))
-    zeros = n - F.size("v")
-    at = lambda rank: F.when(rank <= zeros, F.lit(0.0)).otherwise(F.get("v", (rank - zeros - 1).cast("int")))
-    return stored.select(key, ((at(F.floor((n + 1) / 2)) + at(F.ceil((n + 1) / 2))) / 2).alias("median"))
+    return weighted_median(values.where(F.col(value) > 0).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("w")), key, n)
+
+
+def weighted_median(hist: DataFrame, key: str, n: Column) -> DataFrame:
+    """(key, median) of ``n`` values each: ``hist`` (key, v, w) has each distinct value once with its number; those it lacks come first, as zeros."""
+    along = W.partitionBy(key).orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = hist.withColumns({"upto": F.sum("w").over(along), "all": F.sum("w").over(W.partitionBy(key)), "n": n})
+    rows = rows.withColumn("zeros", F.greatest(F.lit(0.0), F.col("n") - F.col("all")))
+    reaches = lambda rank: F.min(F.when(F.col("zeros") + F.col("upto") >= rank, F.col("v")))
+    low, high = F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)
+    found = rows.groupBy(key).agg(reaches(low).alias("low"), reaches(high).alias("high"), F.max(low <= F.col("zeros")).alias("z0"), F.max(high <= F.col("zeros")).alias("z1"))
+    at = lambda z, v: F.when(F.col(z), F.lit(0.0)).otherwise(F.col(v))
+    return found.select(key, ((at("z0", "low") + at("z1", "high")) / 2).alias("median"))
+
 
+def size_factors(cs: CountSet, method: str = METHODS[0], round_exprs: bool = True, locfunc: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(cell_id, size_factor); an undefined factor is 1.  Cells without any count are left out of the geometric means and get 1.
 
-def size_factors(cs: CountSet, method: str = METHODS[0], round_exprs: bool = True) -> DataFrame:
-    """(cell_id, size_factor); an undefined factor is 1.  Cells without any count are left out of the geometric means and get 1."""
+    ``locfunc`` takes the place of the median of a gene's values (weighted-median; zeros are in an array column beside them) and of a cell's log
+    ratios (median-geometric-mean): a function from an array column to a column.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown size factor method {method}")
     cs = rounded(cs) if round_exprs else cs
@@ -39,19 +57,36 @@ def size_factors(cs: CountSet, method: str = METHODS[0], round_exprs: bool = Tru
         made = F.col("total") / F.exp("m") if method == METHODS[0] else ln0(F.col("total")) / F.col("m")
         found = t.crossJoin(logs).select("cell_id", F.when(F.col("total") > 0, made).alias("f"))
     elif method == "weighted-median":
-        med = padded_median(cs.expr, "gene_id", cs.n_cells()).where("median > 0")
+        if locfunc is None:
+            med = padded_median(cs.expr, "gene_id", cs.n_cells()).where("median > 0")
+        else:
+            lists = cs.expr.groupBy("gene_id").agg(F.collect_list("value").alias("v")).crossJoin(F.broadcast(cs.cells.agg(F.count("*").alias("n"))))  # one row
+            zeros = F.array_repeat(F.lit(0.0), (F.col("n") - F.size("v")).cast("int"))
+            med = lists.select("gene_id", F.concat("v", zeros).alias("v")).select("gene_id", locfunc(F.col("v")).alias("median")).where("median > 0")
         weights = cs.expr.where("value > 0").groupBy("gene_id").agg((F.count("*") / cs.n_cells()).alias("w"))
         rows = cs.expr.where("value > 0").join(med, "gene_id").join(weights, "gene_id")
         found = rows.groupBy("cell_id").agg(F.exp(F.avg(F.col("w") * (F.ln("value") - F.ln("median")))).alias("f"))
     elif method == "median-geometric-mean":
         full = cs.expr.where("value > 0").groupBy("gene_id").agg(F.count("*").alias("k"), F.avg(F.ln("value")).alias("g")).where(F.col("k") == cs.n_cells())
-        found = cs.expr.join(full, "gene_id").groupBy("cell_id").agg(F.exp(F.median(F.ln("value") - F.col("g"))).alias("f"))
+        ratio = F.ln("value") - F.col("g")
+        middle = F.median(ratio) if locfunc is None else locfunc(F.collect_list(ratio))
+        found = cs.expr.join(full, "gene_id").groupBy("cell_id").agg(F.exp(middle).alias("f"))
+    elif method == "mode":
+        from .dispersion import most_frequent
+
+        found = most_frequent(cs).withColumnRenamed("t", "f")
     else:
-        # every gene counts in each cell: entries against their gene's median, and minus the median where the entry is zero
+        # every gene counts in each cell: its entry (or zero) less the gene's median.  All cells share the histogram of minus the medians,
+        # which has few distinct values; each entry moves one count of it.
         med = padded_median(cs.expr, "gene_id", cs.n_cells())
-        everything = cs.genes.select("gene_id").join(med, "gene_id", "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
-        grid = everything.crossJoin(cells).join(cs.expr, ["gene_id", "cell_id"], "left")
-        found = grid.groupBy("cell_id").agg(F.median(F.coalesce("value", F.lit(0.0)) - F.col("median")).alias("f"))
+        everything = cs.genes.select("gene_id").join(med, "gene_id", "left").select("gene_id", F.coalesce("median", F.lit(0.0)).alias("median"))
+        base = everything.groupBy((-F.col("median")).alias("v")).agg(F.count("*").alias("w"))
+        moved = cs.expr.join(everything, "gene_id").select("cell_id", F.explode(F.array(
+            F.struct((-F.col("median")).alias("v"), F.lit(-1).cast("long").alias("w")), F.struct((F.col("value") - F.col("median")).alias("v"), F.lit(1).cast("long").alias("w"))
+        )).alias("x")).select("cell_id", "x.v", "x.w")
+        rows = cells.crossJoin(base).unionByName(moved)
+        hist = rows.groupBy("cell_id", (F.col("v") + 0.0).alias("v")).agg(F.sum("w").alias("w")).where("w > 0")
+        found = weighted_median(hist, "cell_id", cs.n_genes()).withColumnRenamed("median", "f")
     return cells.join(found, "cell_id", "left").select("cell_id", F.coalesce("f", F.lit(1.0)).alias("size_factor"))
 
 
@@ -76,9 +111,10 @@ def stabilized(q: Column, a: float, e: float) -> Column:
 
 
 def vst(cs: CountSet, a: float, e: float, round_vals: bool = True) -> DataFrame:
+    """(gene_id, cell_id, value, baseline): the entries' values, and the value of every missing entry."""
     q = scaled(cs)
     value = round_half_even("value") if round_vals else F.col("value")
-    return q.withColumn("value", stabilized(value, a, e))
+    return q.select("gene_id", "cell_id", stabilized(value, a, e).alias("value"), stabilized(F.lit(0.0), a, e).alias("baseline"))
 
 
 def tfidf(cs: CountSet) -> DataFrame:
@@ -88,7 +124,8 @@ def tfidf(cs: CountSet) -> DataFrame:
 
 
 def normalize(cs: CountSet, method: str = "log", pseudo: float = 1.0, relative: bool = True, coefficients: tuple[float, float] | None = None) -> DataFrame:
-    """The values that reductions work on, of the ordering genes if some are set."""
+    """(gene_id, cell_id, value) of the entries that reductions work on, of the ordering genes if some are set; ``baseline_of`` is the value of
+    every missing entry."""
     if "use_for_ordering" in cs.genes.columns:
         chosen = cs.subset(genes=F.col("use_for_ordering"))
         cs = chosen if chosen.genes.limit(1).count() else cs
@@ -98,7 +135,7 @@ def normalize(cs: CountSet, method: str = "log", pseudo: float = 1.0, relative:
         if method == "vstExprs":
             if not coefficients:
                 raise ValueError("Error: no dispersion model found.")
-            return vst(cs, *coefficients, round_vals=False)
+            return vst(cs, *coefficients, round_vals=False).drop("baseline")
         if method == "none":
             return (scaled(cs) if relative else cs.expr).withColumn("value", F.col("value") + pseudo)
     if cs.family is Family.BINOMIAL and method == "none":
@@ -111,15 +148,38 @@ def normalize(cs: CountSet, method: str = "log", pseudo: float = 1.0, relative:
     raise ValueError(f"Error: normalization method {method} is not available for {cs.family.value}")
 
 
+def baseline_of(family: Family, method: str = "log", pseudo: float = 1.0, coefficients: tuple[float, float] | None = None) -> float:
+    """What ``normalize`` makes of a zero."""
+    if method == "vstExprs":
+        a, e = coefficients
+        return math.log2((1 + e) / (4 * a))
+    if family is Family.BINOMIAL:
+        return 0.0
+    return math.log2(pseudo) if method == "log" else pseudo
+
+
+def dense(cs: CountSet, values: DataFrame, baseline: DataFrame | float = 0.0) -> DataFrame:
+    """(gene_id, cell_id, value) of every gene of ``cs`` in every cell: ``values`` where it has a row, else the baseline: one number, or a
+    table by gene and cell attributes (such as gene_id, baseline).  The size is genes times cells: subset ``cs`` to the genes that are wanted."""
+    grid = cs.genes.select("gene_id").crossJoin(cs.cells)
+    rows = grid.join(values.select("gene_id", "cell_id", "value"), ["gene_id", "cell_id"], "left")
+    if isinstance(baseline, DataFrame):
+        rows = rows.join(baseline, [c for c in baseline.columns if c != "baseline"], "left")
+    else:
+        rows = rows.withColumn("baseline", F.lit(float(baseline)))
+    return rows.select("gene_id", "cell_id", F.coalesce("value", "baseline").alias("value"))
+
+
 def standardized(cs: CountSet, clip: float | None = None) -> DataFrame:
-    """(value - mean) / sd (n - 1) of the entries by gene, zeros included in both, clipped to +-clip."""
+    """(gene_id, cell_id, value, baseline): (value - mean) / sd (n - 1) by gene, zeros included in both, clipped to +-clip; the baseline is
+    that of the gene's missing entries."""
     n = cs.n_cells()
     sums = cs.expr.groupBy("gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     mean = F.col("s") / n
     sums = sums.select("gene_id", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), (F.col("ss") - n * mean * mean) / (n - 1))).alias("sd")).where("sd > 0")
-    z = (F.col("value") - F.col("mean")) / F.col("sd")
-    z = z if clip is None else F.greatest(F.lit(-clip), F.least(F.lit(clip), z))
-    return cs.expr.join(sums, "gene_id").select("gene_id", "cell_id", z.alias("value"))
+    z = lambda x: (x - F.col("mean")) / F.col("sd")
+    cut = lambda x: x if clip is None else F.greatest(F.lit(-clip), F.least(F.lit(clip), x))
+    return cs.expr.join(sums, "gene_id").select("gene_id", "cell_id", cut(z(F.col("value"))).alias("value"), cut(z(F.lit(0.0))).alias("baseline"))
 
 
 def per_million(cs: CountSet) -> DataFrame:
@@ -158,16 +218,64 @@ def spike_scale(concentration: Column, volume: float, dilution: float) -> Column
     return concentration * volume * 1e-3 / dilution * 1e-18 * 6.02214129e23
 
 
-def batch_residuals(cs: CountSet, factor: str) -> DataFrame:
-    """Values without the effect of one factor: each group's mean moved to that of the reference (least) level, zeros included."""
+def batch_effects(cs: CountSet, factor: str) -> DataFrame:
+    """(gene_id, factor, effect) of every gene with a value and every level: the level's mean less that of the reference (least) level, zeros included."""
     sizes = cs.cells.groupBy(factor).agg(F.count("*").alias("n"))
     level = cs.cells.agg(F.min(factor)).scalar()
-    means = cs.expr.join(cs.cells.select("cell_id", factor), "cell_id").groupBy("gene_id", factor).agg(F.sum("value").alias("s")).join(sizes, factor)
-    means = means.select("gene_id", factor, (F.col("s") / F.col("n")).alias("m"))
+    sums = cs.expr.join(cs.cells.select("cell_id", factor), "cell_id").groupBy("gene_id", factor).agg(F.sum("value").alias("s"))
+    grid = sums.select("gene_id").distinct().crossJoin(sizes)  # genes times levels
+    means = grid.join(sums, ["gene_id", factor], "left").select("gene_id", factor, (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("m"))
     base = means.where(F.col(factor) == level).select("gene_id", F.col("m").alias("base"))
-    moved = means.join(base, "gene_id", "left").select("gene_id", factor, (F.col("m") - F.coalesce("base", F.lit(0.0))).alias("effect"))
-    rows = cs.expr.join(cs.cells.select("cell_id", factor), "cell_id").join(moved, ["gene_id", factor])
-    return rows.select("gene_id", "cell_id", (F.col("value") - F.col("effect")).alias("value"))
+    return means.join(base, "gene_id").select("gene_id", factor, (F.col("m") - F.col("base")).alias("effect"))
+
+
+def batch_residuals(cs: CountSet, factor: str) -> DataFrame:
+    """(gene_id, cell_id, value, baseline): values without the effect of one factor; the baseline is what a missing entry of the gene becomes in a
+    cell of this level (``batch_baseline`` has it for all levels)."""
+    rows = cs.expr.join(cs.cells.select("cell_id", factor), "cell_id").join(batch_effects(cs, factor), ["gene_id", factor])
+    return rows.select("gene_id", "cell_id", (F.col("value") - F.col("effect")).alias("value"), (-F.col("effect")).alias("baseline"))
+
+
+def batch_baseline(cs: CountSet, factor: str) -> DataFrame:
+    """(gene_id, factor, baseline): what missing entries become, for ``dense``."""
+    return batch_effects(cs, factor).select("gene_id", factor, (-F.col("effect")).alias("baseline"))
+
+
+def model_residuals(cs: CountSet, formula: str) -> DataFrame:
+    """(gene_id, cell_id, value) of every gene with a value in every cell, without the effects of all terms of a formula but the intercept.
+
+    Least squares on any number of factors and covariates; coefficients that the design does not determine count as 0.
+    """
+    from . import difftest
+
+    covariates = difftest._covariates(cs.with_(family=Family.GAUSSIAN), difftest.variables(formula))
+    design = difftest.Design.of(formula, covariates)
+    kind = cs.expr.schema["cell_id"].dataType.simpleString()
+
+    def run(gene, y, cells):
+        import numpy as np
+        import pandas as pd
+
+        x = design.matrix(cells)
+        used: list[int] = []
+        for k in range(x.shape[1]):  # columns that earlier ones determine have no coefficient
+            if np.linalg.matrix_rank(x[:, [*used, k]]) > len(used):
+                used.append(k)
+        b = np.linalg.lstsq(x[:, used], y, rcond=None)[0]
+        return pd.DataFrame({"gene_id": gene, "cell_id": cells["cell_id"], "value": y - x[:, used[1:]] @ b[1:]})
+
+    return difftest.apply_by_gene(cs, run, f"gene_id {{kind}}, cell_id {kind}, value double", difftest.variables(formula), covariates)
+
+
+def calibration_line(t: Column, at_mode: Column | float, slope: float, intercept: float) -> tuple[Column, Column]:
+    """(k, b) with ``k log10 t + b = log10 at_mode`` and ``slope k - b = -intercept``."""
+    k = (F.log10(F.lit(at_mode) if isinstance(at_mode, float) else at_mode) - intercept) / (F.log10(t) + slope)
+    return k, slope * k + intercept
+
+
+def along_line(value: Column, k: Column, b: Column) -> Column:
+    """10^(k log10 value + b), 0 for a value of 0."""
+    return F.when(value > 0, F.pow(F.lit(10.0), k * F.log10(value) + b)).otherwise(0.0)
 
 
 def robust_line(x, y, steps: int = 20, k: float = 1.345) -> tuple[float, float]:

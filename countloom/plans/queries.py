@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..dataset import CountSet, Family, family_facts
+from .. import store
+from ..dataset import CountSet, Family, family_facts, first_per, from_container, pick
 from ..functions.stats import bh_adjust
 from ..operators import branch, cluster, difftest, dispersion, graph, normalize, plotdata, qc, reduce, trajectory, typing
 from ..operators.dispersion import Curve
-from ..sources import views
+from ..sources import tenx, views
 from ..streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,9 +42,9 @@ def sized(spark: SparkSession, sf: str) -> CountSet:
     return normalize.with_size_factors(v1(spark, sf))
 
 
-def panel(cs: CountSet) -> DataFrame:
-    """A figure's panel: one brand's parts."""
-    return cs.genes.where("brand = 'Brand#11'").select("gene_id")
+def leading(cs: CountSet, n: int) -> DataFrame:
+    """A figure's panel: the n genes with the greatest totals."""
+    return cs.expr.groupBy("gene_id").agg(F.sum("value").alias("t")).orderBy(F.col("t").desc(), "gene_id").limit(n).select("gene_id")
 
 
 @query
@@ -72,7 +74,7 @@ def _sizes(method: str) -> Query:
     return run
 
 
-for _name, _method in (("mgmt", normalize.METHODS[0]), ("gmt", normalize.METHODS[1]), ("weighted_median", normalize.METHODS[2]), ("median_geo", normalize.METHODS[3]), ("median", normalize.METHODS[4])):
+for _name, _method in (("mgmt", normalize.METHODS[0]), ("gmt", normalize.METHODS[1]), ("weighted_median", normalize.METHODS[2]), ("median_geo", normalize.METHODS[3]), ("median", normalize.METHODS[4]), ("mode", normalize.METHODS[5])):
     QUERIES[f"size_factors_{_name}"] = _sizes(_method)
 
 
@@ -88,12 +90,29 @@ def tfidf(spark, sf):
 
 @query
 def vst_exprs(spark, sf):
-    return normalize.vst(sized(spark, sf), CURVE.a, CURVE.e).select("gene_id", "cell_id", r("value"))
+    return normalize.vst(sized(spark, sf), CURVE.a, CURVE.e).select("gene_id", "cell_id", r("value"), r("baseline"))
 
 
 @query
 def row_scale_clip(spark, sf):
-    return normalize.standardized(v1(spark, sf), 3.0).select("gene_id", "cell_id", r("value"))
+    return normalize.standardized(v1(spark, sf), 3.0).select("gene_id", "cell_id", r("value"), r("baseline"))
+
+
+@query
+def normalized_matrix(spark, sf):
+    """What a reduction reads: variance-stabilised values of the ordering genes in all cells, zeros included."""
+    cs = sized(spark, sf)
+    cs = qc.ordering_filter(cs, cs.genes.where("size > 25"))
+    values = normalize.normalize(cs, "vstExprs", coefficients=(CURVE.a, CURVE.e))
+    base = normalize.baseline_of(cs.family, "vstExprs", coefficients=(CURVE.a, CURVE.e))
+    return normalize.dense(cs.subset(genes=F.col("use_for_ordering")), values, base).select("gene_id", "cell_id", r("value"))
+
+
+@query
+def size_factors_mean_location(spark, sf):
+    """Means in place of the medians of the weighted method."""
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    return normalize.size_factors(v1(spark, sf), normalize.METHODS[2], locfunc=mean).select("cell_id", r("size_factor"))
 
 
 @query
@@ -185,11 +204,11 @@ def disp_hint(spark, sf):
 @query
 def dispersion_fit(spark, sf):
     c = dispersion.fit_curve(dispersion.moments(sized(spark, sf)))
-    return spark.createDataFrame([(c.a, c.e)], "asympt_disp double, extra_pois double")
+    return spark.createDataFrame([(c.a, c.e)], "asympt_disp double, extra_pois double").select(r("asympt_disp"), r("extra_pois"))
 
 
 def _de(df: DataFrame) -> DataFrame:
-    return df.select("gene_id", "status", "family", r("lr", 5), r("pval"), r("qval"))
+    return df.select("gene_id", "status", "family", (F.round("lr", 5) + F.lit(0.0)).alias("lr"), r("pval"), r("qval"))  # no minus zero
 
 
 @query
@@ -228,7 +247,7 @@ def de_binomial_quality(spark, sf):
 
 @query
 def de_binomial_lang(spark, sf):
-    return _de(difftest.differential_test(_present(spark, sf), "lang"))
+    return _de(difftest.differential_test(_present(spark, sf).subset(cells=F.col("lang").isNotNull()), "lang"))
 
 
 @query
@@ -239,7 +258,12 @@ def bh_adjust_parts(spark, sf):
 
 @query
 def batch_residuals(spark, sf):
-    return normalize.batch_residuals(v1(spark, sf), "region").select("gene_id", "cell_id", r("value"))
+    return normalize.batch_residuals(v1(spark, sf), "region").select("gene_id", "cell_id", r("value"), r("baseline"))
+
+
+@query
+def batch_baseline(spark, sf):
+    return normalize.batch_baseline(v1(spark, sf), "region").select("gene_id", "region", r("baseline"))
 
 
 @query
@@ -291,7 +315,7 @@ def project_to_segment(spark, sf):
 @query
 def pairwise_corr_distance(spark, sf):
     cs = v1(spark, sf)
-    return cluster.correlation_distance(cs.expr, panel(cs), cs.n_cells()).select("a", "b", r("d"))
+    return cluster.correlation_distance(cs.expr, cs.genes, cs.n_cells()).select("a", "b", r("d"))
 
 
 @query
@@ -311,7 +335,7 @@ def branch_cells(spark, sf) -> DataFrame:
 
 @query
 def branch_stretch(spark, sf):
-    cells = branch_cells(spark, sf).where("branch = 0 or pseudotime < 80")
+    cells = branch_cells(spark, sf).withColumn("pseudotime", F.col("pseudotime") * (1 - 0.2 * F.col("branch")))
     return branch.stretch(cells).select("cell_id", "branch", r("pseudotime"))
 
 
@@ -352,31 +376,37 @@ def bifurcation_point(spark, sf):
 @query
 def positive_cells(spark, sf):
     cs = sized(spark, sf)
-    return plotdata.positive_cells(cs, panel(cs), "region", 20.0).select("gene_id", "region", "target", r("percent"))
+    return plotdata.positive_cells(cs, cs.genes, "region", 20.0).select("gene_id", "region", "target", r("percent"))
 
 
 @query
 def jitter_data(spark, sf):
     cs = sized(spark, sf)
-    return plotdata.expression(cs, panel(cs), 0.1, True).select("gene_id", "cell_id", "region", r("expression"))
+    return plotdata.expression(cs, cs.genes, 0.1, True).select("gene_id", "cell_id", "region", r("expression"))
 
 
 @query
 def violin_data(spark, sf):
     cs = sized(spark, sf)
-    return plotdata.expression(cs, panel(cs), 0.1, False).select("gene_id", "cell_id", r("expression"))
+    return plotdata.expression(cs, cs.genes, 0.1, False).select("gene_id", "cell_id", r("expression"))
 
 
 @query
 def jitter_mean(spark, sf):
     cs = sized(spark, sf)
-    return plotdata.mean_interval(plotdata.expression(cs, panel(cs), 0.1, True), ["gene_id", "region"]).select("gene_id", "region", r("mean"), r("low"), r("high"))
+    return plotdata.mean_by_group(cs, cs.genes, "region").select("gene_id", "region", r("mean"), r("low"), r("high"))
+
+
+@query
+def bootstrap_interval(spark, sf):
+    cs = sized(spark, sf)
+    return plotdata.bootstrap_interval(plotdata.expression(cs, leading(cs, 20), 0.1, True), ["gene_id", "region"])
 
 
 @query
 def coexpression_pairs(spark, sf):
     cs = v1(spark, sf)
-    return plotdata.coexpression(cs, cs.genes.where("brand = 'Brand#11' and size > 40"), cs.genes.where("brand = 'Brand#12' and size > 40"))
+    return plotdata.coexpression(cs, leading(cs, 10), leading(cs, 30))
 
 
 def tree_coords(spark, sf) -> DataFrame:
@@ -418,8 +448,116 @@ def branched_heat_matrix(spark, sf):
 
 
 @query
-def pseudotime_lowess(spark, sf):
-    return plotdata.lowess(views.events(spark, sf)).select("gene_id", "cell_id", r("smooth", 8))
+def pseudotime_moving_mean(spark, sf):
+    return plotdata.moving_mean(views.events(spark, sf)).select("gene_id", "cell_id", r("smooth", 8))
+
+
+@query
+def value_quantiles(spark, sf):
+    cs = v1(spark, sf)
+    return cs.expr.groupBy("gene_id").agg(*[F.round(F.percentile("value", q), 6).alias(f"q{round(100 * q)}") for q in (0.05, 0.25, 0.5, 0.95)])
+
+
+@query
+def first_gene_per_type(spark, sf):
+    return first_per(views.parts(spark, sf), "type", "size", "gene_id").select("type", "gene_id", "size")
+
+
+@query
+def picked_genes(spark, sf):
+    return pick(views.parts(spark, sf), "gene_id", [7, 3, 3, 100, -1]).select("position", "gene_id", "brand")
+
+
+@query
+def genes_in_pseudotime(spark, sf):
+    """Observed expression beside what an observation of the group's mean would be."""
+    cs = sized(spark, sf)
+    genes = cs.genes.where("size > 45")
+    means = plotdata.mean_by_group(cs, genes, "region").select("gene_id", "region", F.col("mean").alias("expectation"))
+    expected = means.join(cs.cells.select("cell_id", "region"), "region").select("gene_id", "cell_id", "expectation")
+    return plotdata.in_pseudotime(cs, genes, expected, 0.1).select("gene_id", "cell_id", r("expression"), r("expectation"))
+
+
+@query
+def cell_clusters_plot(spark, sf):
+    cs = v1(spark, sf)
+    coords = cs.cells.select("cell_id", F.col("acctbal").alias("x"), (F.col("cell_id") % 7).cast("double").alias("y"))
+    markers = cs.expr.join(leading(cs, 5), "gene_id", "left_semi")
+    return plotdata.cell_clusters(coords, cs.cells.select("cell_id", "region"), markers).select("cell_id", "x", "y", "region", "gene_id", r("log_value"))
+
+
+@query
+def classify_cells_enriched(spark, sf):
+    """A type where at least as many of a group's cells pass as 1.2 times its share of all cells."""
+    return typing.classify(v1(spark, sf), hierarchy(), ["nation"], enrichment=1.2).cells.select("cell_id", "nation", "CellType")
+
+
+@query
+def container_import(spark, sf):
+    """Logged values of cells of which the metadata has only those of one region, taken back."""
+    cs = v1(spark, sf)
+    logged = cs.expr.withColumn("value", F.log2(F.col("value") + 1))
+    got = from_container(logged, cs.cells.where("region = 'ASIA'"), logged=True)
+    return got.expr.select("gene_id", "cell_id", r("value"))
+
+
+def _shared(spark: SparkSession) -> str:
+    return f"{store.shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query
+def matrix_directory_roundtrip(spark, sf):
+    """A count set written as the matrix directory of a droplet pipeline, compressed and in the newer layout, and loaded again."""
+    cs, path = v1(spark, sf), _shared(spark)
+    tenx.write_directory(cs.with_genes(cs.genes.select("gene_id")), path)
+    got = tenx.load(spark, path)
+    return got.expr.select(F.col("gene_id").cast("long").alias("gene_id"), F.col("cell_id").cast("long").alias("cell_id"), "value")
+
+
+@query
+def sheet_roundtrip(spark, sf):
+    path = _shared(spark)
+    tenx.write_sheet(v1(spark, sf).cells, path)
+    got = tenx.read_sheet(spark, path, "cell_id")
+    return got.select(F.col("cell_id").cast("long").alias("cell_id"), "region", "nation", F.col("acctbal").cast("double").alias("acctbal"))
+
+
+@query
+def logged_export_roundtrip(spark, sf):
+    cs, path = v1(spark, sf), _shared(spark)
+    tenx.write(cs, path, logged=True)
+    return tenx.read(spark, path, logged=True).expr.select("gene_id", "cell_id", r("value"))
+
+
+@query
+def spike_in_molecules(spark, sf):
+    """Molecules of a kit whose concentrations are those of the parts' sizes."""
+    return views.parts(spark, sf).select("gene_id", F.round(normalize.spike_scale(F.col("size").cast("double"), 10.0, 40000.0), 6).alias("molecules"))
+
+
+@query
+def calibration_lines(spark, sf):
+    """Each cell's line through its typical value and the kit's line, and its values along it."""
+    cs = v1(spark, sf)
+    k, b = normalize.calibration_line(F.col("t"), 10.0, -3.65, 2.3)
+    rows = cs.expr.join(_t(cs), "cell_id").withColumns({"k": k, "b": b})
+    return rows.select("gene_id", "cell_id", r("k"), r("b"), F.round(normalize.along_line(F.col("value"), F.col("k"), F.col("b")), 4).alias("value"))
+
+
+@query
+def marker_test(spark, sf):
+    """Types by cell, then the test of the type."""
+    types = typing.Hierarchy().add("A", lambda x: x[1] > 0).add("B", lambda x: x[2] > 0)
+    return _de(typing.marker_test(sized(spark, sf), types, CURVE))
+
+
+@query
+def compare_models(spark, sf):
+    """The likelihoods of two nested gaussian models by closed form, handed over as tables."""
+    cs = v1(spark, sf).with_(family=Family.GAUSSIAN)
+    lr = difftest.likelihood_ratio(cs, "region")
+    full, reduced = lr.select("gene_id", (F.col("lr") / 2).alias("loglik"), F.lit(5).alias("df")), lr.select("gene_id", F.lit(0.0).alias("loglik"), F.lit(1).alias("df"))
+    return difftest.compare_models(full, reduced).select("gene_id", "status", r("pval"), r("qval"))
 
 
 @query
@@ -500,9 +638,158 @@ def spline_de(spark, sf):
     return difftest.regression_test(_event_set(spark, sf), "~sm.ns(Pseudotime, df=3)", "~1", CURVE)
 
 
+def _event_tree(spark, sf) -> tuple[CountSet, DataFrame, dict, int]:
+    """The event set on a principal tree: vertices 0 to 2 up to pseudotime 30, then 10 to 16 and 20 to 26 by branch."""
+    cs = _event_set(spark, sf)
+    place = F.least(F.floor(F.col("Pseudotime") / 10), F.lit(9)).cast("long")
+    vertex = F.when(place < 3, place).otherwise(place - 3 + F.when(F.col("Branch") == "0", 10).otherwise(20))
+    cells = cs.cells.select("cell_id", F.col("Pseudotime").alias("pseudotime"), vertex.alias("vertex"))
+    edges = [(0, 1, 1.0), (1, 2, 1.0), (2, 10, 1.0), (2, 20, 1.0), *((10 * k + i, 10 * k + i + 1, 1.0) for k in (1, 2) for i in range(6))]
+    return cs, cells, graph.adjacency(edges), 0
+
+
+def _branches(spark, sf) -> tuple[CountSet, DataFrame]:
+    cs, cells, tree, root = _event_tree(spark, sf)
+    return cs, branch.branch_cells(cells, tree, root, branch_point=2)
+
+
+@query
+def branch_data_set(spark, sf):
+    """The cells of both branches of the tree, progenitors dealt to them, pseudotime stretched."""
+    cs, cells = _branches(spark, sf)
+    return branch.branch_set(cs, cells).cells.select("cell_id", "original_cell_id", "branch", r("pseudotime"))
+
+
 @query
 def beam(spark, sf):
-    return difftest.regression_test(_event_set(spark, sf), "~sm.ns(Pseudotime, df=3)*Branch", "~sm.ns(Pseudotime, df=3)", CURVE)
+    cs, cells = _branches(spark, sf)
+    return branch.beam(cs, cells, curve=CURVE)
+
+
+@query
+def abc_fitted(spark, sf):
+    cs, cells = _branches(spark, sf)
+    return branch.areas(cs, cells, 5000, curve=CURVE)
+
+
+@query
+def ilr_fitted(spark, sf):
+    cs, cells = _branches(spark, sf)
+    return branch.log_ratios(cs, cells, curve=CURVE)
+
+
+@query
+def ilr_stabilized(spark, sf):
+    cs, cells = _branches(spark, sf)
+    return branch.log_ratios(cs, cells, variance_stabilized=True, curve=CURVE)
+
+
+@query
+def divergences_fitted(spark, sf):
+    cs, cells = _branches(spark, sf)
+    return branch.divergences(branch.fitted_curves(cs, cells, curve=CURVE))
+
+
+@query
+def bifurcation_fitted(spark, sf):
+    cs, cells = _branches(spark, sf)
+    ilr = branch.log_ratios(cs, cells, curve=CURVE)
+    return branch.bifurcation_point(ilr).join(branch.bifurcation_point(ilr, cross_only=False).withColumnRenamed("point", "above"), "gene_id")
+
+
+@query
+def branched_pseudotime(spark, sf):
+    cs, cells = _branches(spark, sf)
+    return plotdata.branched_in_pseudotime(cs, cs.genes, cells, CURVE)
+
+
+def _paths(cs: CountSet) -> tuple[CountSet, dict[str, list]]:
+    state = F.when(F.col("Pseudotime") < 30, 1).when(F.col("Branch") == "0", 2).otherwise(3)
+    return cs.with_(cells=cs.cells.withColumn("State", state)), {"first": [1, 2], "second": [1, 3]}
+
+
+@query
+def pseudotime_heatmap(spark, sf):
+    return plotdata.pseudotime_heatmap(_event_set(spark, sf), CURVE, clusters=3)
+
+
+@query
+def branches_heatmap(spark, sf):
+    cs, paths = _paths(_event_set(spark, sf))
+    return plotdata.branches_heatmap(cs, paths, CURVE, clusters=3)
+
+
+@query
+def branches_lowess(spark, sf):
+    cs, paths = _paths(_event_set(spark, sf))
+    return plotdata.branches_in_pseudotime(cs, cs.genes, paths)
+
+
+@query
+def pseudotime_lowess(spark, sf):
+    return plotdata.lowess(views.events(spark, sf))
+
+
+@query
+def tobit_test(spark, sf):
+    """Totals by bucket as censored responses."""
+    cs = _event_set(spark, sf).with_(family=Family.TOBIT, detection_limit=1.0)
+    return difftest.regression_test(cs, "~sm.ns(Pseudotime, df=3)", "~1")
+
+
+@query
+def free_size_test(spark, sf):
+    return difftest.regression_test(_event_set(spark, sf).with_(family=Family.NB), "~Branch", "~1")
+
+
+@query
+def model_residuals(spark, sf):
+    return normalize.model_residuals(_event_set(spark, sf), "~Branch + Pseudotime")
+
+
+def _clustered(method: str, **more) -> Query:
+    def run(spark, sf):
+        points = views.points(spark, sf).select("id", "x", "label")
+        if method == "DDRTree":
+            points = reduce.scores(points, 10)
+        cells = points.select(F.col("id").alias("cell_id"))
+        empty = spark.createDataFrame([], "gene_id long, cell_id long, value double")
+        cs = CountSet(empty, cells, empty.select("gene_id").distinct())
+        return cluster.cluster_cells(cs, points, method, **more).cells
+
+    return run
+
+
+QUERIES["cluster_cells_density"] = _clustered("densityPeak", num_clusters=8)
+QUERIES["cluster_cells_louvain"] = _clustered("louvain", k=10)
+QUERIES["cluster_cells_tree"] = _clustered("DDRTree", num_clusters=8)
+
+
+@query
+def spike_in_lines(spark, sf):
+    """Lines of each supplier through the parts that serve as a kit: the smallest ones, with concentrations by size."""
+    cs = v1(spark, sf)
+    kit = cs.genes.orderBy("size", "gene_id").limit(92).select("gene_id", (F.col("size") * F.lit(10.0)).alias("concentration"))
+    return normalize.spike_in_lines(cs, kit, 10.0, 40000.0)
+
+
+@query
+def uncentred_scores(spark, sf):
+    return reduce.uncentred_scores(views.points(spark, sf), 5)
+
+
+@query
+def scaled_tree_pseudotime(spark, sf):
+    """Every leaf of a small tree at 100."""
+    _, _, tree, root = _event_tree(spark, sf)
+    return spark.createDataFrame(sorted(trajectory.scale_pseudotime(trajectory.order(tree, root)).items()), "vertex long, pseudotime double")
+
+
+@query
+def subset_ordered(spark, sf):
+    """The cells of one label ordered anew along a spanning tree of their own."""
+    points = views.points(spark, sf)
+    return trajectory.subset_ordered(spark, reduce.scores(points, 3), points.where("label = 1").select("id"))[0]
 
 
 @query
@@ -560,12 +847,11 @@ def louvain(spark, sf):
 
 def _gene_distances(spark, sf) -> tuple[list, np.ndarray]:
     cs = v1(spark, sf)
-    rows = cluster.correlation_distance(cs.expr, panel(cs), cs.n_cells()).collect()  # the panel's pairs
-    ids = sorted({x for q in rows for x in (q["a"], q["b"])})
-    d = np.zeros((len(ids), len(ids)))
-    for q in rows:
-        i, j = ids.index(q["a"]), ids.index(q["b"])
-        d[i, j] = d[j, i] = q["d"]
+    rows = cluster.correlation_distance(cs.expr, leading(cs, 200), cs.n_cells()).toPandas()  # the pairs of a heat map's genes
+    ids = sorted({*rows["a"], *rows["b"]})
+    d, at = np.zeros((len(ids), len(ids))), {g: i for i, g in enumerate(ids)}
+    i, j = rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy()
+    d[i, j] = d[j, i] = rows["d"]
     return ids, d
 
 
@@ -592,7 +878,7 @@ def pq_lineages(spark, sf):
     ids, m = _embedding(spark, sf)
     m = m[:2]
     d = np.sqrt(((m[:, :, None] - m[:, None]) ** 2).sum(0))
-    return trajectory.lineage_order(graph.adjacency(graph.spanning_tree(d)), d, 2, exact=5).table(spark)
+    return trajectory.lineage_order(graph.adjacency(graph.spanning_tree(d)), d, 2).table(spark)
 
 
 @query

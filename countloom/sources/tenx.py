@@ -116,3 +116,60 @@ def read(spark: SparkSession, path: str, logged: bool = False, offset: float = 1
     expr, cells, genes = (spark.read.parquet(f"{path}/{n}") for n in ("expr", "cells", "genes"))
     expr = expr.withColumn("value", F.round(F.pow(F.lit(2.0), F.col("value")) - offset, 9)) if logged else expr
     return from_tables(expr, cells, genes)
+
+
+def _lines(df: DataFrame, path: str, name: str, compressed: bool) -> None:
+    """One text file ``path/name`` of the ordered rows of ``df`` (place, line): sorted and written in parts, which are then joined in order."""
+    spark = df.sparkSession
+    part = f"{path}/.{name}"
+    writer = df.orderBy("place").select("line").write.mode("overwrite")
+    writer.option("compression", "gzip" if compressed else "none").text(part)
+    fs, folder = _fs(spark, part)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    out = fs.create(target, True)
+    try:
+        for piece in sorted(str(s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")):
+            piece_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(piece)
+            stream = fs.open(piece_path)
+            spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)  # gzip members follow each other
+            stream.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
+
+
+def write_directory(cs: CountSet, path: str) -> None:
+    """A droplet pipeline's output directory in the newer layout: features, barcodes and the matrix, compressed.  Values of the matrix keep their digits."""
+    root = f"{path}/outs/filtered_feature_bc_matrix"
+    number = lambda df, key: numbered(df.select(key).orderBy(key))
+    genes, cells = number(cs.genes, "gene_id"), number(cs.cells, "cell_id")
+    names = cs.genes if "gene_short_name" in cs.genes.columns else cs.genes.withColumn("gene_short_name", F.col("gene_id").cast("string"))
+    features = genes.join(names.select("gene_id", "gene_short_name"), "gene_id")
+    entries = cs.expr.join(genes.withColumnRenamed("n", "i"), "gene_id").join(cells.withColumnRenamed("n", "j"), "cell_id")
+    head = cs.genes.agg(F.count("*").alias("g")).crossJoin(cs.cells.agg(F.count("*").alias("c"))).crossJoin(entries.agg(F.count("*").alias("e")))  # one row each
+    banner = head.sparkSession.createDataFrame([("%%MatrixMarket matrix coordinate real general",)], "line string")
+    body = entries.select(F.struct(F.lit(2).alias("k"), "j", "i").alias("place"), F.concat_ws(" ", "i", "j", "value").alias("line"))
+    zero = lambda k: F.struct(F.lit(k).alias("k"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("i")).alias("place")
+    matrix = banner.select(zero(0), "line").unionByName(head.select(zero(1), F.concat_ws(" ", "g", "c", "e").alias("line"))).unionByName(body)
+    kind = F.lit("Gene Expression")
+    _lines(features.select(F.col("n").alias("place"), F.concat_ws("\t", "gene_id", "gene_short_name", kind).alias("line")), root, "features.tsv.gz", True)
+    _lines(cells.select(F.col("n").alias("place"), F.col("cell_id").cast("string").alias("line")), root, "barcodes.tsv.gz", True)
+    _lines(matrix, root, "matrix.mtx.gz", True)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` (sorted) with ``n`` from 1; the partitions' counts give each its first number."""
+    from ..store import cut
+
+    rows = cut(df.withColumn("id", F.monotonically_increasing_id()))  # ids must not change between two readings
+    part = F.shiftright("id", 33)
+    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = F.broadcast(counts.select("part", before.alias("first")))  # one row a partition
+    rows = rows.withColumn("part", part).join(counts, "part")
+    return rows.withColumn("n", F.col("first") + (F.col("id") - F.shiftleft(F.col("part"), 33)) + 1).drop("part", "first", "id")
+
+
+def write_sheet(df: DataFrame, path: str) -> None:
+    """A tab-separated attribute sheet with a header; its first column is the key."""
+    df.write.mode("overwrite").csv(path, sep="\t", header=True)

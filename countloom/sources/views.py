@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dataset import CountSet, Family
+from ..store import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,15 +39,20 @@ def parts_by_order(spark: SparkSession, sf_dir: str) -> CountSet:
     return CountSet(expr, cells, parts(spark, sf_dir))
 
 
-def tokens_by_document(spark: SparkSession, sf_dir: str, least: int = 20) -> CountSet:
-    """Genes are lower-case words that at least ``least`` documents have, cells documents with their labels."""
+def tokens_by_document(spark: SparkSession, sf_dir: str, least: int = 1) -> CountSet:
+    """Genes are lower-case words (letters of any script) that at least ``least`` documents have, cells documents with their labels.
+
+    Texts are split once: the counts are a stored table, which genes and entries are read from.
+    """
     docs = table(spark, sf_dir, "documents")
-    words = docs.select(F.col("doc_id").alias("cell_id"), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("gene_id")).where("gene_id <> ''")
-    expr = words.groupBy("gene_id", "cell_id").agg(F.count("*").cast("double").alias("value"))
+    words = docs.select(F.col("doc_id").alias("cell_id"), F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("gene_id")).where("gene_id <> ''")
+    expr = cut(words.groupBy("gene_id", "cell_id").agg(F.count("*").cast("double").alias("value")))
     genes = expr.groupBy("gene_id").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least)
+    if least > 1:
+        expr = expr.join(genes.select("gene_id"), "gene_id", "left_semi")
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "cell_id")
     cells = docs.select(F.col("doc_id").alias("cell_id"), "lang", "source").join(labels, "cell_id", "left")
-    return CountSet(expr.join(genes.select("gene_id"), "gene_id", "left_semi"), cells, genes, Family.BINOMIAL)
+    return CountSet(expr, cells, genes, Family.BINOMIAL)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

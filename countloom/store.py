@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table written to the cluster's shared checkpoint folder and read again: short lineage that survives lost executors."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary folder serves only where driver and executors are one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="countloom-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read again: short lineage that survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from countloom.dataset import CountSet, Family, from_tables, from_wide
+from countloom.dataset import CountSet, Family, from_container, from_tables, from_wide
 from countloom.functions import stats
 from countloom.operators import branch, cluster, difftest, dispersion, graph, normalize, plotdata, qc, reduce, trajectory, typing
 from countloom.operators.dispersion import Curve
@@ -105,7 +105,7 @@ def test_formulas():
 
 def test_model_guards(spark):
     cs = counts(spark, {"a": [1, 2]})
-    with pytest.raises(ValueError, match="NA values"):
+    with pytest.raises(ValueError, match="null, NaN"):
         difftest.fit_models(cs.with_cells(spark.createDataFrame([("c0", 1.0), ("c1", float("nan"))], "cell_id string, t double")), "~t")
     with pytest.raises(ValueError, match="size factors"):
         difftest.fit_models(cs, "~half")
@@ -304,3 +304,209 @@ def test_inverse_embedding_keeps_the_scale():
     fit = reduce.principal_tree(raw, 2, 10)
     x = reduce.inverse(fit["W"], fit["Z"], raw)
     assert x.shape == raw.shape and x.min() >= 0 and np.allclose(x.max(1), np.quantile(raw, 0.99, axis=1))
+
+
+def test_tests_refuse_missing_levels(spark):
+    cs = normalize.with_size_factors(counts(spark, {"a": [1, 2, 3, 4], "b": [2, 2, 1, 5]}))
+    cs = cs.with_cells(spark.createDataFrame([("c0", "x"), ("c1", "x"), ("c2", "y")], "cell_id string, level string"))
+    with pytest.raises(ValueError, match="null, NaN"):
+        difftest.differential_test(cs, "level", dispersion.hints(cs, Curve(0.1, 1.0)))
+    kept = cs.subset(cells=F.col("level").isNotNull())
+    assert difftest.differential_test(kept, "level", dispersion.hints(kept, Curve(0.1, 1.0))).count() == 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_free_size_likelihoods_are_comparable(seed):
+    """Each model's likelihood is complete, so a model with more terms never has less of it."""
+    rng = np.random.default_rng(seed)
+    y = rng.negative_binomial(2, 0.3, 80).astype(float)
+    one, two = np.ones((80, 1)), np.column_stack([np.ones(80), np.arange(80) % 2])
+    fits = []
+    for x in (one, two):
+        k = difftest.free_size(x, y)
+        b, ll = difftest.regress(x, y, Family.NB.value, k)
+        mu = np.exp(x @ b)
+        plain = sum(math.lgamma(v + k) - math.lgamma(k) + k * math.log(k / (k + m)) + v * math.log(m / (k + m)) for v, m in zip(y, mu))
+        assert abs(ll - plain) < 1e-6
+        fits.append(ll)
+    assert 0 <= 2 * (fits[1] - fits[0]) < 12
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_censored_fit_maximises_the_likelihood(seed):
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([np.ones(400), rng.normal(size=400)])
+    y = np.maximum(x @ [0.3, 0.8] + 0.7 * rng.normal(size=400), 0.0)
+    b, ll, sd = difftest.censored(x, y, 0.0)
+    assert abs(b[0] - 0.3) < 0.15 and abs(b[1] - 0.8) < 0.15 and abs(sd - 0.7) < 0.1
+
+    def value(b0, b1, s):
+        m = b0 + b1 * x[:, 1]
+        return sum(-0.5 * ((v - u) / s) ** 2 - math.log(s) - 0.5 * math.log(2 * math.pi) if v > 0 else math.log(math.erfc(u / s / math.sqrt(2)) / 2) for v, u in zip(y, m))
+
+    assert abs(ll - value(*b, sd)) < 1e-6
+    for step in itertools.product((-0.01, 0, 0.01), repeat=3):
+        assert value(b[0] + step[0], b[1] + step[1], sd + step[2]) <= ll + 1e-9
+    assert np.linalg.norm(np.linalg.lstsq(x, y, rcond=None)[0] - [0.3, 0.8]) > np.linalg.norm(b - [0.3, 0.8])
+
+
+def test_failed_fits_predict_nulls(spark):
+    fits = spark.createDataFrame([("a", "OK", [1.0, 2.0]), ("b", "FAIL", None)], "gene_id string, status string, coef array<double>")
+    got = {(r["gene_id"], r["grid_idx"]): r["value"] for r in difftest.predict(fits, np.array([[1.0, 0.0], [1.0, 1.0]]), Family.GAUSSIAN).collect()}
+    assert got == {("a", 0): 1.0, ("a", 1): 3.0, ("b", 0): None, ("b", 1): None}
+
+
+def test_zeros_have_their_values(spark):
+    """The whole matrix from entries and baselines equals a plain one."""
+    m = np.array([[1, 2, 0, 0], [0, 0, 5, 1], [3, 0, 0, 4]], float)
+    cs = normalize.with_size_factors(counts(spark, {g: row.tolist() for g, row in zip("abc", m)}))
+    f = np.array([r["size_factor"] for r in cs.cells.orderBy("cell_id").collect()])
+    table = lambda df: np.array([[x["value"] for x in rows] for _, rows in itertools.groupby(sorted(df.collect(), key=lambda r: (r["gene_id"], r["cell_id"])), key=lambda r: r["gene_id"])])
+    q = m / f
+    a, e = 0.1, 1.0
+    want = np.log2((1 + e + 2 * a * q + 2 * np.sqrt(a * q * (1 + e + a * q))) / (4 * a))
+    got = normalize.dense(cs, normalize.normalize(cs, "vstExprs", coefficients=(a, e)), normalize.baseline_of(cs.family, "vstExprs", coefficients=(a, e)))
+    assert np.allclose(table(got), want)
+    assert np.allclose(table(normalize.dense(cs, normalize.normalize(cs, "none", 0.5), normalize.baseline_of(cs.family, "none", 0.5))), q + 0.5)
+    assert np.allclose(table(normalize.dense(cs, normalize.normalize(cs, "log", 2.0), normalize.baseline_of(cs.family, "log", 2.0))), np.log2(q + 2))
+    z = normalize.standardized(cs, 1.0)
+    base = z.select("gene_id", "baseline").distinct()
+    assert np.allclose(table(normalize.dense(cs, z, base)), np.clip((m - m.mean(1, keepdims=True)) / m.std(1, ddof=1, keepdims=True), -1, 1))
+    x = np.column_stack([np.ones(4), np.arange(4) % 2])
+    b = np.linalg.lstsq(x, m.T, rcond=None)[0]
+    want = m - (x[:, 1:] @ b[1:]).T
+    assert np.allclose(table(normalize.dense(cs, normalize.batch_residuals(cs, "half"), normalize.batch_baseline(cs, "half"))), want)
+    assert np.allclose(table(normalize.model_residuals(cs, "~half")), want)
+
+
+def plain_lowess(x, y, span=2 / 3, rounds=3):
+    """Every point from its own nearest neighbours, one at a time."""
+    n, near = len(x), max(2, int(span * len(x) + 1e-7))
+    robust = [1.0] * n
+    for turn in range(rounds + 1):
+        fit = []
+        for i in range(n):
+            reach = sorted(abs(v - x[i]) for v in x)[near - 1]
+            w = [(1 - (abs(v - x[i]) / reach) ** 3) ** 3 * r if abs(v - x[i]) < 0.999 * reach else 0.0 for v, r in zip(x, robust)]
+            a = np.array([[sum(w), sum(p * v for p, v in zip(w, x))], [sum(p * v for p, v in zip(w, x)), sum(p * v * v for p, v in zip(w, x))]])
+            b = np.linalg.solve(a, [sum(p * v for p, v in zip(w, y)), sum(p * u * v for p, u, v in zip(w, x, y))])
+            fit.append(b[0] + b[1] * x[i])
+        off = [abs(u - v) for u, v in zip(y, fit)]
+        scale = 6 * float(np.median(off))
+        robust = [(1 - (o / scale) ** 2) ** 2 if o < 0.999 * scale else 0.0 for o in off]
+    return np.array(fit)
+
+
+def test_local_lines_equal_a_plain_version(spark):
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.uniform(0, 10, 60))
+    y = np.sin(x) + 0.1 * rng.normal(size=60)
+    y[20] = 9.0  # an outlier that the robust rounds take out
+    got = plotdata.local_lines(x, y, step=0.0)
+    assert np.allclose(got, plain_lowess(x.tolist(), y.tolist()), atol=0.02)
+    once = plotdata.local_lines(x, y, rounds=0, step=0.0)
+    assert np.allclose(once, plain_lowess(x.tolist(), y.tolist(), rounds=0), atol=1e-6) and abs(got[20]) < abs(once[20])
+    assert np.allclose(plotdata.local_lines(x, y), got, atol=0.05)
+    df = spark.createDataFrame([("g", k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y))], "gene_id string, cell_id int, pseudotime double, value double")
+    assert np.allclose([r["smooth"] for r in plotdata.lowess(df).orderBy("cell_id").collect()], plotdata.local_lines(x, y))
+
+
+def test_orders_of_p_nodes_are_the_cheapest():
+    rng = np.random.default_rng(9)
+    points = rng.uniform(size=(14, 2))
+    d = np.sqrt(((points[:, None] - points) ** 2).sum(2))
+    node = trajectory.Node("P", [0, 1, trajectory.Node("Q", [2, 3, 4]), 5, trajectory.Node("Q", [6, 7])])
+    cost = lambda seq: sum(d[a, b] for a, b in zip(seq, seq[1:]))
+    parts = [[[0]], [[1]], [[2, 3, 4], [4, 3, 2]], [[5]], [[6, 7], [7, 6]]]
+    want = min(cost([leaf for part in way for leaf in part]) for order in itertools.permutations(parts) for way in itertools.product(*order))
+    assert abs(cost(trajectory.best_order(node, d)) - want) < 1e-9
+    big = trajectory.Node("P", list(range(10)))
+    assert cost(trajectory.best_order(big, d)) <= cost(trajectory.best_order(big, d, exact=2)) + 1e-9
+
+
+def test_scaled_pseudotime_ends_at_100():
+    tree = graph.adjacency([(0, 1, 1.0), (1, 2, 1.0), (1, 3, 4.0), (3, 4, 1.0)])
+    got = trajectory.scale_pseudotime(trajectory.order(tree, 0))
+    assert got[0] == 0 and got[2] == got[4] == 100 and got[1] < got[3] < 100
+
+
+def test_clustering_entry_point(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=2) * 0.3 + 6 * np.array([i % 3 == 1, i % 3 == 2])).tolist()) for i in range(60)]
+    points = spark.createDataFrame(rows, "id long, x array<double>")
+    empty = spark.createDataFrame([], "gene_id long, cell_id long, value double")
+    cs = CountSet(empty, points.select(F.col("id").alias("cell_id")), empty.select("gene_id").distinct())
+    for method, more in (("densityPeak", {"num_clusters": 3}), ("louvain", {"k": 8}), ("DDRTree", {"num_clusters": 3})):
+        out = cluster.cluster_cells(cs, points, method, **more)
+        got = {}
+        for r in out.cells.collect():
+            got.setdefault(r["cell_id"] % 3, set()).add(r["Cluster"])
+        if method == "DDRTree":  # a tree's vertices share the cells out, whatever groups there are
+            assert out.cells.where("Cluster is null").isEmpty() and 1 <= len(set().union(*got.values())) <= 3
+        else:
+            assert all(not got[a] & got[b] for a in got for b in got if a < b), method
+        if method == "densityPeak":
+            again = cluster.cluster_cells(out, points, rho=0.0, delta=1e9, reuse=True)
+            assert again.cells.select("Cluster").distinct().count() == 1
+    with pytest.raises(ValueError, match="reuse"):
+        cluster.cluster_cells(cs, points, reuse=True)
+    with pytest.raises(ValueError, match="unknown clustering"):
+        cluster.cluster_cells(cs, points, "other")
+
+
+def test_gene_clusters_leave_out_missing_rows():
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(2, 30))
+    m = np.vstack([base[k % 2] + 0.1 * rng.normal(size=30) for k in range(10)])
+    m[3, 4] = np.nan
+    got = cluster.gene_clusters(m, 2)
+    assert got["rows"].tolist() == [0, 1, 2, 4, 5, 6, 7, 8, 9]
+    assert len({(int(r) % 2, int(c)) for r, c in zip(got["rows"], got["labels"])}) == 2
+    own = cluster.gene_clusters(m, 2, method=lambda x: np.sqrt(((x[:, None] - x) ** 2).sum(2)))
+    assert len(own["medoids"]) == 2
+
+
+def test_branch_flow(spark):
+    """A gene that follows its branch is found, and its curves part."""
+    rng = np.random.default_rng(1)
+    rows, cells = [], []
+    for i in range(120):
+        t, side = i / 1.2, i % 2
+        cells.append((f"c{i:03d}", t, 0 if t < 30 else 10 * (1 + side)))
+        for g, mean in (("flat", 10.0), ("apart", 10.0 if t < 30 or side == 0 else 40.0)):
+            rows.append((g, f"c{i:03d}", float(rng.poisson(mean))))
+    cells = spark.createDataFrame(cells, "cell_id string, pseudotime double, vertex long")
+    genes = spark.createDataFrame([("flat", "F"), ("apart", "A")], "gene_id string, gene_short_name string")
+    cs = CountSet(spark.createDataFrame(rows, "gene_id string, cell_id string, value double").where("value > 0"), cells.select("cell_id").withColumn("size_factor", F.lit(1.0)), genes)
+    tree = graph.adjacency([(0, 10, 1.0), (0, 20, 1.0), (0, 1, 1.0)])
+    of = branch.branch_cells(cells, tree, 1, branch_point=0)
+    curve = Curve(0.01, 0.01)
+    got = {r["gene_id"]: r for r in branch.beam(cs, of, curve=curve).collect()}
+    assert got["apart"]["qval"] < 1e-6 < got["flat"]["pval"] and got["flat"]["gene_short_name"] == "F"
+    area = {r["gene_id"]: abs(r["abc"]) for r in branch.areas(cs, of, 500, curve=curve).collect()}
+    assert area["apart"] > 5 * area["flat"]
+    ilr = {r["gene_id"]: r["divergence"] for r in branch.divergence(branch.log_ratios(cs, of, curve=curve)).collect()}
+    assert ilr["apart"] > 1 > ilr["flat"]
+    plain = branch.branch_test(cs.with_cells(cells.select("cell_id", F.col("pseudotime").alias("Pseudotime"))), of, "~Pseudotime", "~1", curve)
+    assert plain.count() == 2
+
+
+def test_bootstrap_interval_holds_the_mean(spark):
+    df = spark.createDataFrame([("g", k % 2, float(k)) for k in range(200)], "gene_id string, side int, expression double")
+    for r in plotdata.bootstrap_interval(df, ["gene_id", "side"]).collect():
+        assert r["low"] < r["mean"] < r["high"] and abs(r["mean"] - 99.5) <= 0.5 and 18 < r["high"] - r["low"] < 28
+
+
+def test_container_import_keeps_side_data(spark):
+    raw = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "z", 1.5)], "gene_id string, cell_id string, value double")
+    meta = spark.createDataFrame([("x",), ("y",)], "cell_id string")
+    got = from_container(raw, meta, import_all=True, reduction="r")
+    assert got.expr.count() == 2 and got.family is Family.NB_SIZE and got.side == {"reduction": "r"} and got.genes.count() == 2
+    assert from_container(raw, meta, reduction="r").side == {}
+
+
+def test_uncentred_scores(spark):
+    x = np.random.default_rng(3).normal(size=(40, 3)) + 5
+    got = np.array([r["x"] for r in reduce.uncentred_scores(spark.createDataFrame(list(enumerate(x.tolist())), "id int, x array<double>"), 3).orderBy("id").collect()])
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u * s), atol=1e-8)

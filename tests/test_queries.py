@@ -12,7 +12,7 @@ def test_against_sql(spark, name):
     same_as_sql(QUERIES[name](spark, DATA), ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["balanced_downsample", "spline_de", "pca_variance", "louvain", "pam", "hclust", "dispersion_fit", "kde_mode"])
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
