@@ -1,17 +1,18 @@
 """License scans (native: DataFrame functions only).
 
 A paragraph is a line or several consecutive lines with words, joined: from every line on, as many as it takes to have the words
-of the longest notice, so a notice may be wrapped anywhere.  It is classified by a sparse word n-gram logistic regression over licence families and ``none``.  The model is
-trained on the driver from short notices of each family and background sentences; its features are the word uni- and bigrams of
-the notices, so a paragraph without any of them is ``none`` without being scored.  Scoring looks the weights up in constant
-arrays.  A family is reported where its probability is at least ``SURE`` and the comparison with the family's notices (share of
+of the longest notice, so a notice may be wrapped anywhere.  It is classified by a sparse word n-gram logistic regression over licence
+families and ``none``.  The model is trained on the driver from short notices of each family and background sentences; its features are
+the word uni- and bigrams of the notices in paragraphs with a word of licensing (``ANCHORS``; every notice has one).  A paragraph without
+such a word has no features, in training as in scoring, and is ``none``, so it need not be scored.  Scoring looks the weights up in constant
+arrays.  A family is reported where its probability is at least ``sure`` and the comparison with the family's notices (share of
 a notice's bigrams found in the paragraph) reaches ``CONFIRM``; otherwise a paragraph that is not ``none`` is ``unknown``.
 Of paragraphs that overlap the best counts (families before ``unknown``, then the score, then the shorter one), lines that are
-notices by themselves join no others, and paragraphs of one family without a line between them count as one.  Both thresholds are calibrated in ``train`` on notices of families that the model has not seen: at ``SURE`` none of them is named,
-and a paragraph is not ``none`` where the families together have a probability between that of the background and the next one of
-theirs.
+notices by themselves join no others, and paragraphs of one family without a line between them count as one.  Both thresholds are
+calibrated in ``train`` on notices of families that the model has not seen: at ``sure`` none of them is named, and a paragraph is not ``none``
+where the families together have a probability between that of the background and the next one of theirs.
 
-Defined results: null and empty texts have no licence (``none``, score 0, no paragraphs); very long texts are scanned whole;
+Defined results: a copyright line alone is no licence; null and empty texts have no licence (``none``, score 0, no paragraphs); very long texts are scanned whole;
 repeated rows get equal results; a paragraph is numbered by its first line; among equal scores the first paragraph counts; an empty table gives an empty result; extra
 columns pass through ``scan`` unless they bear the name of a result, which then replaces them.
 """
@@ -42,12 +43,51 @@ NOTICES = {
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",  # noqa: E501
+        "either version 3 of the License, or (at your option) any later version. See the GNU General Public License for more details.",
         "Released under the GPL-3.0 license.",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",  # noqa: E501
+        "Released under the GPL-2.0 license.",
+        "Licensed under the GPL v2.",
+    ],
+    "LGPL": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "Released under the LGPL-2.1 license.",
+        "Licensed under the LGPL v3.",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "Released under the AGPL-3.0 license.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Licensed under the ISC License.",
+        "Released under the ISC license.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this unencumbered software",
+    ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
         "Released under the BSD 2-Clause License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Licensed under the Boost Software License 1.0.",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -72,9 +112,17 @@ NOTICES = {
 }
 #: Identifiers by family, for lines that declare a licence.
 IDENTIFIERS = {
-    "MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "GPL-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"], "BSD": ["BSD-3-Clause", "BSD-2-Clause"],
+    "MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "GPL-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"], "GPL-2.0": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"],
+    "LGPL": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"], "AGPL-3.0": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "ISC": ["ISC"], "Unlicense": ["Unlicense"], "BSD": ["BSD-3-Clause", "BSD-2-Clause"], "EPL-2.0": ["EPL-2.0"], "BSL-1.0": ["BSL-1.0"],
     "MPL-2.0": ["MPL-2.0"], "CC-BY-4.0": ["CC-BY-4.0"], "CC-BY-SA-4.0": ["CC-BY-SA-4.0"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"], "CC0-1.0": ["CC0-1.0"],
 }
+#: Beginnings of words, and whole words, of licensing: only a paragraph with one of them has features.
+ANCHORS = (
+    ["licen", "unlicen", "sublicen", "copyright", "permission", "permitted", "redistribut", "unencumber", "warrant", "spdx", "gpl", "lgpl", "agpl", "cc0", "bsd", "mozilla", "apache"],
+    ["mit", "isc", "cc", "public", "gnu", "commons", "domain", "granted", "eclipse", "boost", "rights", "reserved", "version"],
+)
+TELLING = f"(?<![a-z0-9])(?:{'|'.join(ANCHORS[0])}|(?:{'|'.join(ANCHORS[1])})(?![a-z0-9]))"
 for _family, _names in IDENTIFIERS.items():
     NOTICES[_family] += [f"{sign}: {name}" for name in _names for sign in ("SPDX-License-Identifier", "License")]
 #: Sentences of no licence that share words with the notices.
@@ -101,6 +149,13 @@ BACKGROUND = [
     "Mit ihm kam der Regen.",
     "Er wohnt mit uns.",
     "MIT is a university.",
+    "The public was granted entry to the domain of the lord.",
+    "All rights of the tenants are reserved in the contract of the house.",
+    "House of Commons members met in public.",
+    "Es ist mit der Zeit mit allen so.",
+    "Copyright 2019 Example Corporation. All rights reserved.",
+    "They were permitted to use the hall with or without the boost of the law.",
+    "He gave permission to use the car, and no warranty came with it.",
 ]
 #: Notices of families that the model does not know, for the calibration of the unknown class.
 STRANGE = [
@@ -110,6 +165,7 @@ STRANGE = [
     "Use of this dataset is subject to the Northwind license agreement.",
     "SPDX-License-Identifier: EUPL-1.2",
     "License: EUPL",
+    "Licensed under the Orbital Software Agreement, version 4.",
 ]
 FAMILIES = [*NOTICES, "none"]
 TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*:?"
@@ -143,7 +199,7 @@ def train() -> tuple[list[str], np.ndarray, np.ndarray, float, float]:
         data.append((" ".join(rng.choice(words, rng.integers(1, 7))), none))
     x = np.zeros((len(data), len(features)))
     for r, (text, _) in enumerate(data):
-        for g in grams_of(text):
+        for g in grams_of(text) if re.search(TELLING, text.lower()) else []:
             if g in place:
                 x[r, place[g]] = 1
     y = np.eye(none + 1)[[k for _, k in data]]
@@ -157,7 +213,7 @@ def train() -> tuple[list[str], np.ndarray, np.ndarray, float, float]:
         w = np.sign(w) * np.maximum(0, np.abs(w) - 4e-4)  # sparse
 
     def probabilities(text: str) -> np.ndarray:
-        own = set(grams_of(text))
+        own = set(grams_of(text)) if re.search(TELLING, text.lower()) else set()
         z = np.array([float(f in own) for f in features]) @ w + b
         p = np.exp(z - z.max())
         return p / p.sum()
@@ -212,11 +268,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     *_, sure, least = train()
     names = F.array(*map(F.lit, FAMILIES))
     none = len(FAMILIES) - 1
-    # every notice has one of these words, and none of the background features alone decides for a family
-    telling = "(?i)licen[cs]|copyright|public|permission|redistribut|\\bMIT\\b|GPL|\\bBSD\\b|\\bCC\\b|CC0|creative commons"
+    tells = lambda x: F.lower(x).rlike(TELLING)  # noqa: E731  (without such a word there are no features)
     n_words = lambda x: F.size(F.regexp_extract_all(F.lower(x), F.lit(f"({TOKEN})")))
     numbered = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("i"), i.alias("last")))
-    lines = F.when(F.col(text).rlike(telling), numbered).otherwise(F.slice(numbered, 1, 0))
+    lines = F.when(tells(F.col(text)), numbered).otherwise(F.slice(numbered, 1, 0))
 
     def judged(x: Column) -> Column:
         def of(y: Column) -> Column:
@@ -228,7 +283,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         return let(F.struct(_probabilities(x["line"]).alias("best"), _likeness(x["line"]).alias("like")), of)
 
     def all_judged(x: Column) -> Column:
-        return F.filter(F.transform(F.filter(x, lambda y: y["line"].rlike(telling)), judged), lambda y: y["name"] != "none")
+        return F.filter(F.transform(F.filter(x, lambda y: tells(y["line"])), judged), lambda y: y["name"] != "none")
 
     def joined(rows: Column) -> Column:
         """The paragraphs of two lines or more that begin with the first of ``rows``."""
@@ -256,7 +311,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
         counted = F.transform(
             all_lines,
-            lambda y: F.struct(y["line"], y["i"], y["last"], F.when(F.array_contains(taken, y["i"]), 0).otherwise(n_words(y["line"])).alias("words"), y["line"].rlike(telling).alias("told")),
+            lambda y: F.struct(y["line"], y["i"], y["last"], F.when(F.array_contains(taken, y["i"]), 0).otherwise(n_words(y["line"])).alias("words"), tells(y["line"]).alias("told")),
         )
         return let(counted, of)
 
