@@ -61,6 +61,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is in memory on both sides.
+BATCH_ROWS = 1000
+
+
+def by_batches(df: DataFrame, work: Callable, schema: object) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows (a setting of the session, which is only ever lowered)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(work, schema)
+
+
 def sized(df: DataFrame, rows: int, each: int, least: int = 16) -> DataFrame:
     """``df`` in one partition for each ``each`` of ``rows`` rows, ``least`` at least, where a shuffle has left more (no new shuffle)."""
     return df.coalesce(max(least, -(-rows // each)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, read
+from .common import by_batches, held_out, read
 
 FIT_ROWS = 800
 FIT_CHARS = 20_000
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 )
                 at += len(block)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return by_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

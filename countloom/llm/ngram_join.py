@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, read, sized
+from .common import by_batches, cut, discard, read, sized
 
 WORDS = 5
 #: A block of documents that a task works on at once.
@@ -149,7 +149,7 @@ def sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
             often = counts >= max(2, BLOCK_DOCS // FREQUENT)
             yield _rows(kinds, names, [(None, c, None, h) for h, c in zip(values[often].view(np.int64).tolist(), counts[often].tolist())])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, hash long")
+    return by_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, digest binary, hash long")
 
 
 def rank(counts: np.ndarray) -> np.ndarray:
@@ -264,7 +264,7 @@ def shared(docs: DataFrame, frequent: np.ndarray, ranks: np.ndarray, bits: int,
                 rows.append((name, size, len(x), x.tobytes(), x[:prefix].view(np.int64)))
         return pa.Table.from_batches([_rows([pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())], ["digest", "n", "s", "keys", "prefix"], rows)])
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, schema)
+    dealt = by_batches(docs.select("doc_id", "text"), deal, schema)
     counted = dealt.groupBy("bucket").applyInArrow(count, schema)
     found = counted.groupBy("block").applyInArrow(gather, "digest binary, n long, s long, keys binary, prefix array<long>")
     return found.dropDuplicates(["digest"])

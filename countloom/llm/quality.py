@@ -26,7 +26,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read
+from .common import by_batches, held_out, read
 
 FIT_ROWS = 1500
 FIT_CHARS = 20_000
@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 scores = [of(t or b"") for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return by_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -134,7 +134,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                 texts = part.column(part.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
                 yield part.filter(pa.array([of(t or b"") >= least for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_batches(docs, run, docs.schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import by_batches, read
 
 MARK = "▁"
 UNKNOWN = -30.0
@@ -144,7 +144,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, scores: dict[st
                 words, tokens = trie.totals(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return by_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_words long, n_tokens long")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import by_batches, read
 
 GRAM = 8
 WINDOW = 12
@@ -114,7 +114,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
                 structs = pa.StructArray.from_arrays([pa.array(x) for x in whole], ["hash", "position"])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, structs)], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, fingerprint {FINGERPRINT}")
+    return by_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, f"doc_id long, fingerprint {FINGERPRINT}")
 
 
 def _below(bounds: list[int], key: Column) -> Column:
@@ -210,7 +210,7 @@ def compare_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     placed = rows.sortWithinPartitions(F.col("place"), F.col("last"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc(), "text")
-    return placed.select("place", "last", "doc_id", "text").mapInArrow(run, EDITS)
+    return by_batches(placed.select("place", "last", "doc_id", "text"), run, EDITS)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
