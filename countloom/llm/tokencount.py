@@ -148,4 +148,6 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, scores: dict[st
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_tokens).  No public unigram model is at hand: the pieces are those of a public vocabulary and their scores Zipf's law by
+    rank, so the counts are those of that model, not of the vocabulary's own encoder (``token_counts`` takes other scores)."""
     return token_counts(read(spark, sf_dir, "documents", "doc_id", "text"))

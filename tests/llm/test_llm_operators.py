@@ -85,6 +85,20 @@ def test_token_counts(spark, awkward, nothing, monkeypatch):
     assert [trie.totals([t])[1][0] for t in texts] == [sum(brute_tokens(w, SCORES) for w in t.decode().split()) for t in texts]
 
 
+def test_token_counts_of_whole_texts(spark):
+    """The query against a plain program, word by word over all texts."""
+    scores = tokencount.scores_of(tokencount.default_vocabulary())
+    docs, known = table("documents"), {}
+    got = {r["doc_id"]: r for r in QUERIES["op1_token_counts"](spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    for i, text in zip(docs["doc_id"], docs["text"]):
+        words = (text or "").encode().split()
+        for w in words:
+            if w not in known:
+                known[w] = brute_tokens(w.decode(), scores)
+        assert (got[i]["n_words"], got[i]["n_tokens"]) == (len(words), sum(known[w] for w in words))
+
+
 # 2 quality
 
 
