@@ -827,6 +827,34 @@ def ddrtree_order(spark, sf):
     return trajectory.order_cells(spark, cells, fit["Y"], fit["edges"])[0]
 
 
+def _ordered(method: str, **more) -> Query:
+    def run(spark, sf):
+        ids, m = _embedding(spark, sf)
+        return trajectory.order_reduced(spark, ids, reduce.reduce(m, 2, method), **more)
+
+    return run
+
+
+QUERIES["order_tree"] = _ordered("DDRTree")
+QUERIES["order_ica"] = _ordered("ICA", num_paths=2)
+
+
+@query
+def tree_layout(spark, sf):
+    """Places of the vertices of a small tree in a drawing, the root on top."""
+    _, _, tree, root = _event_tree(spark, sf)
+    parents = trajectory.order(tree, root).parent
+    places = plotdata.layout([(p, v) for v, p in parents.items() if p is not None], root)
+    return spark.createDataFrame([(v, x, y) for v, (x, y) in sorted(places.items())], "vertex long, x double, y double")
+
+
+@query
+def gene_clusters_plot(spark, sf):
+    """Curves with the cluster of their gene."""
+    curves = plotdata.pseudotime_heatmap(_event_set(spark, sf), CURVE)
+    return plotdata.gene_clusters(curves, cluster.row_clusters(curves, 2))
+
+
 def _coords(method: str) -> Query:
     def run(spark, sf):
         ids, m = _embedding(spark, sf)
