@@ -27,16 +27,18 @@ def responses(cs: CountSet) -> DataFrame:
     return cs.expr.join(f, "cell_id").select("gene_id", "cell_id", round_half_even(F.col("value") / F.col("size_factor")).alias("y"))
 
 
-def refuse_missing(cells: DataFrame, names: list[str]) -> None:
-    """Raises if an attribute of a model term is null or not finite in any cell (one aggregate)."""
+def refuse_missing(cells: DataFrame, names: list[str], *more: Column) -> tuple:
+    """Raises if an attribute of a model term is null or not finite in any cell; ``more`` aggregates of the same pass are returned."""
     kinds = dict(cells.dtypes)
     bad = F.lit(False)
     for v in names:
         bad = bad | F.col(v).isNull()
         if kinds[v] in ("double", "float"):
             bad = bad | F.isnan(v) | (F.abs(F.col(v)) == math.inf)
-    if cells.agg(F.bool_or(bad)).first()[0]:
+    found = cells.agg(F.bool_or(bad), *more).first()
+    if found[0]:
         raise ValueError(NOT_FINITE)
+    return tuple(found)[1:]
 
 
 def likelihood_ratio(cs: CountSet, factor: str, hints: DataFrame | None = None) -> DataFrame:
@@ -76,8 +78,7 @@ def differential_test(cs: CountSet, factor: str, hints: DataFrame | None = None)
 
     Cells without a level are an error, as in the regressions: drop them first.
     """
-    refuse_missing(cs.cells, [factor])
-    levels = cs.cells.select(factor).distinct().count()
+    (levels,) = refuse_missing(cs.cells, [factor], F.count_distinct(factor))
     lr = likelihood_ratio(cs, factor, hints).withColumn("pval", chi2_tail(F.col("lr"), max(1, levels - 1)))
     rows = cs.genes.select("gene_id").join(lr, "gene_id", "left")
     ok = F.col("lr").isNotNull()
@@ -304,8 +305,8 @@ def _covariates(cs: CountSet, names: list[str]) -> pd.DataFrame:
 
     More than ``DESIGN_CELLS`` cells are an error: use a factor (closed form, any number of cells) or bins of the covariates.
     """
-    refuse_missing(cs.cells, names)
-    if (n := cs.cells.count()) > DESIGN_CELLS:
+    (n,) = refuse_missing(cs.cells, names, F.count("*"))
+    if n > DESIGN_CELLS:
         raise ValueError(f"{n} cells: regressions by gene take {DESIGN_CELLS} at most; use a factor or bin the covariates")
     wanted = ["cell_id", *names, *(["size_factor"] if "size_factor" in cs.cells.columns else [])]
     cells = cs.cells.select(*wanted).toPandas().sort_values("cell_id", ignore_index=True)
