@@ -53,7 +53,7 @@ BH = """, bh AS (SELECT *, row_number() OVER (ORDER BY pval, gene_id) AS rk, cou
 q AS (SELECT *, least(1, min(pval * nt / rk) OVER (ORDER BY pval DESC, gene_id DESC ROWS UNBOUNDED PRECEDING)) AS qval FROM bh)
 SELECT pv.gene_id, pv.status, pv.family, round(pv.lr, 5) + 0.0::DOUBLE AS lr, round(pv.pval, 6) AS pval, round(coalesce(q.qval, 1), 6) AS qval FROM pv LEFT JOIN q USING (gene_id)"""
 # 1 - erf by its series; beyond z = 6 it is under 1e-16
-ERFC = "CASE WHEN lr <= 0 THEN 1 WHEN lr > 72 THEN 0 ELSE 1 - exp(-lr / 2) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(sqrt(lr / 2)) - lgamma(k + 1.5)))) END"
+ERFC = "CASE WHEN lr IS NULL THEN NULL WHEN lr <= 0 THEN 1 WHEN lr > 72 THEN 0 ELSE greatest(0, 1 - exp(-lr / 2) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(sqrt(lr / 2)) - lgamma(k + 1.5))))) END"
 TAIL = {1: ERFC, 2: "exp(-lr / 2)", 3: f"({ERFC}) + sqrt(2 * lr / pi()) * exp(-lr / 2)", 4: "exp(-lr / 2) * (1 + lr / 2)"}
 
 
