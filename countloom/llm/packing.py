@@ -28,12 +28,12 @@ CAPACITY = 2048
 END = b"\x00\x00\x00\x00"
 BUCKET_ROWS = 5000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker remembers; the table is emptied when full.
+#: Words whose ids a worker remembers (about 100 bytes each); the table is emptied when full.  Results do not depend on it.
 REMEMBERED = 1_000_000
 #: ASCII punctuation that may follow a word; its ids don't depend on the word.
 MARKS = b""".,;:!?*#$%&|<>()[]{}/=+-_~^@\\\""""
 
-_TOKENIZERS: dict[str, Encoder] = {}
+_TOKENIZERS: dict[tuple[str, int], Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -50,7 +50,7 @@ class Encoder:
     and the tokens that end a word tell them apart again.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,12 +59,13 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.remembered = remembered
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = cls(path)
-        return _TOKENIZERS[path]
+    def of(cls, path: str, remembered: int = REMEMBERED) -> Encoder:
+        if (path, remembered) not in _TOKENIZERS:
+            _TOKENIZERS[path, remembered] = cls(path, remembered)
+        return _TOKENIZERS[path, remembered]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -100,7 +101,7 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # special tokens are case-sensitive
         new = set().union(*split).difference(self.known)
-        if len(self.known) + 2 * len(new) > REMEMBERED:
+        if len(self.known) + 2 * len(new) > self.remembered:
             self.known.clear()
             new = set().union(*split)
         self.learn(new)
@@ -113,12 +114,12 @@ def _letters(word: bytes) -> bool:
     return word.isalpha() or (text := word.decode("utf-8", "replace")).isalpha() and max(text) < "\u0250" and "\u0130" not in text
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece of every document."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
+        encoder = Encoder.of(path, remembered)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -203,8 +204,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(cut(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
+    return pack(cut(pieces(docs, tokenizer, capacity, remembered), "pieces"), capacity)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
