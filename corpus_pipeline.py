@@ -12,6 +12,8 @@ from countloom.llm.common import cut, read
 
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Words whose ids a worker of the last stage remembers: less than by default, as the workers still hold memory of earlier stages.
+REMEMBERED = 300_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,7 +92,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A null or empty text is the end id alone; very long texts become many pieces; each copy of a document is packed for itself (its
     pieces may go to different sequences); an empty table gives no pieces; columns but the id are not carried on.
     """
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
