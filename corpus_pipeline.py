@@ -90,9 +90,10 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pieces of documents in sequences.
 
     A null or empty text is the end id alone; very long texts become many pieces; each copy of a document is packed for itself (its
-    pieces may go to different sequences); an empty table gives no pieces; columns but the id are not carried on.
+    pieces may go to different sequences); an empty table gives no pieces; columns but the id are not carried on.  Workers forget their
+    words at the end of a task, as they live on beside stages that need the memory.
     """
-    return packing.pack_documents(docs, remembered=REMEMBERED)
+    return packing.pack_documents(docs, remembered=REMEMBERED, forget=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_batches, cut, read
+from .common import by_batches, cut, give_back, read
 
 CAPACITY = 2048
 END = b"\x00\x00\x00\x00"
@@ -114,8 +114,8 @@ def _letters(word: bytes) -> bool:
     return word.isalpha() or (text := word.decode("utf-8", "replace")).isalpha() and max(text) < "\u0250" and "\u0130" not in text
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
-    """One row per piece of every document."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED, forget: bool = False) -> DataFrame:
+    """One row per piece of every document.  With ``forget`` a worker's words and their memory go when its task ends."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +134,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+        if forget:
+            encoder.known.clear()
+            give_back()
 
     return by_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
 
@@ -204,8 +207,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
-    return pack(cut(pieces(docs, tokenizer, capacity, remembered), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED, forget: bool = False) -> DataFrame:
+    return pack(cut(pieces(docs, tokenizer, capacity, remembered, forget), "pieces"), capacity)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import math
 from collections import Counter
 
 import corpus_pipeline
-from countloom.llm import mixing, quality
+import pyarrow as pa
+from countloom.llm import mixing, packing, quality
 from countloom.llm.common import cut, read
 from test_llm_operators import SMALL, brute_join, brute_rules, brute_targets, check_slots, table
 
@@ -108,3 +109,18 @@ def test_stages_keep_columns_of_any_name(spark):
             rows = out.collect()
             assert {r["doc_id"] for r in rows} == set(range(6))
             assert all(r[c] == 1000 * r["doc_id"] + i for r in rows for i, c in enumerate(names))
+
+
+def test_idle_workers_keep_no_words(spark):
+    """What a worker has learned in the packing stage does not stay in memory beside later stages."""
+    docs = read(spark, SMALL, "documents").repartition(8)
+    assert corpus_pipeline.best_fit_packing(spark, docs, SMALL).count() > 0
+    key = packing.default_tokenizer(), corpus_pipeline.REMEMBERED
+
+    def words(batches):
+        for batch in batches:
+            encoder = packing._TOKENIZERS.get(key)
+            yield pa.RecordBatch.from_arrays([pa.array([len(encoder.known) if encoder else None] * batch.num_rows, pa.int64())], ["words"])
+
+    found = {r["words"] for r in spark.range(0, 64, 1, 16).mapInArrow(words, "words long").collect()}
+    assert 0 in found and found <= {0, None}
