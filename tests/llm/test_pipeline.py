@@ -2,10 +2,14 @@
 
 import hashlib
 import math
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import corpus_pipeline
 import pyarrow as pa
+import pyarrow.parquet as pq
 from countloom.llm import mixing, packing, quality
 from countloom.llm.common import cut, read
 from test_llm_operators import SMALL, brute_join, brute_rules, brute_targets, check_slots, table
@@ -124,3 +128,36 @@ def test_idle_workers_keep_no_words(spark):
 
     found = {r["words"] for r in spark.range(0, 64, 1, 16).mapInArrow(words, "words long").collect()}
     assert 0 in found and found <= {0, None}
+
+
+SMALL_HEAP = """
+import sys
+import corpus_pipeline
+from countloom.llm import quality
+from pyspark.sql import SparkSession
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1] + "/steps").getOrCreate()
+quality.fit = lambda docs, labels: quality.Model(b"", b"", ())
+docs = spark.read.parquet(sys.argv[1] + "/documents.parquet")
+print("kept", corpus_pipeline.quality_classifier(spark, docs, sys.argv[1]).selectExpr("count(*)", "sum(length(text))").first())
+"""
+
+
+def test_classifier_stage_reads_few_texts_at_once(tmp_path):
+    """4,000 texts of 50,000 characters, which one task reads with a heap of 512 MB: 4,096 at once do not fit."""
+    text = "some plain words that go on and on about nothing much " * 926
+    rows = [f"{k} {text}"[:50_000] for k in range(4000)]
+    pq.write_table(pa.table({"doc_id": range(4000), "text": rows}), tmp_path / "documents.parquet", use_dictionary=False)
+    pq.write_table(pa.table({"doc_id": [0], "quality": [1]}), tmp_path / "labels.parquet")
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(sys.path), "PYSPARK_SUBMIT_ARGS": "--driver-memory 512m pyspark-shell"}
+    out = subprocess.run([sys.executable, "-c", SMALL_HEAP, str(tmp_path)], env=env, capture_output=True, text=True, timeout=200)
+    assert "kept Row(count(1)=4000, sum(length(text))=200000000)" in out.stdout, out.stderr[-2000:]
+
+
+def test_stored_steps_have_small_row_groups(spark):
+    """A reader holds a whole row group: 50 MB of texts that do not compress are stored as several."""
+    docs = spark.range(0, 25_000, 1, 1).selectExpr("id doc_id", "array_join(transform(sequence(1, 32), k -> sha2(concat(id, ' ', k), 256)), '') text")
+    at = cut(docs).stored_at.removeprefix("file:")
+    groups = [pq.ParquetFile(f"{at}/{f}").metadata for f in os.listdir(at) if f.endswith(".parquet")]
+    most = max(m.row_group(k).column(1).total_compressed_size for m in groups for k in range(m.num_row_groups))
+    assert sum(m.num_rows for m in groups) == 25_000 and most < 20e6
