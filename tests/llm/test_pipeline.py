@@ -161,3 +161,14 @@ def test_stored_steps_have_small_row_groups(spark):
     groups = [pq.ParquetFile(f"{at}/{f}").metadata for f in os.listdir(at) if f.endswith(".parquet")]
     most = max(m.row_group(k).column(1).total_compressed_size for m in groups for k in range(m.num_row_groups))
     assert sum(m.num_rows for m in groups) == 25_000 and most < 20e6
+
+
+def test_repeated_labels_fit_the_same_model(spark, monkeypatch):
+    """Copies of documents and labels take no places in the bounded sample of the fit: the model is that of the tables without copies."""
+    from countloom.llm import quality
+
+    monkeypatch.setattr(quality, "FIT_ROWS", 20)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    many = lambda df: df.union(df).union(df).union(df)
+    once = quality.fit(docs, labels)
+    assert once.good and once == quality.fit(many(docs), many(labels)) == quality.fit(many(docs), labels)
