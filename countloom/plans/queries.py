@@ -904,8 +904,7 @@ def mst_edges(spark, sf):
 @query
 def pq_lineages(spark, sf):
     ids, m = _embedding(spark, sf)
-    m = m[:2]
-    d = np.sqrt(((m[:, :, None] - m[:, None]) ** 2).sum(0))
+    d = graph.Distances(m[:2])
     return trajectory.lineage_order(graph.adjacency(graph.spanning_tree(d)), d, 2).table(spark)
 
 
