@@ -539,3 +539,23 @@ def test_order_by_lineages_is_that_of_the_distance_matrix():
     d = np.sqrt(((x[:, :, None] - x[:, None]) ** 2).sum(0))
     tree = graph.adjacency(graph.spanning_tree(graph.Distances(x)))
     assert trajectory.lineage_order(tree, graph.Distances(x), 2) == trajectory.lineage_order(tree, d, 2)
+
+
+def test_tsne_of_many_rows():
+    """Linear memory; forces and result as with all pairs."""
+    rng = np.random.default_rng(7)
+    for dims, scale in ((1, 5.0), (2, 1e-4), (2, 5.0), (2, 20.0)):
+        y = rng.normal(scale=scale, size=(500, dims))
+        q = 1 / (1 + ((y[:, None] - y) ** 2).sum(2)) - np.eye(500)
+        want = ((q**2)[:, :, None] * (y[:, None] - y)).sum(1) / q.sum()
+        for got in (reduce._grid_repulsion(y), reduce._row_repulsion(y)):
+            assert np.abs(got - want).max() < 0.02 * np.abs(want).max()
+    x = np.vstack([rng.normal(size=(60, 5)) + 20 * k for k in range(4)])
+    y = reduce.tsne(x, exact=0, steps=300)
+    own = np.repeat(range(4), 60)
+    d = ((y[:, None] - y) ** 2).sum(2) + np.diag(np.full(240, np.inf))
+    assert (own[d.argmin(1)] == own).mean() > 0.99
+    assert reduce.tsne(x[:50], dims=3, exact=0, steps=20).shape == (50, 3)
+    many = rng.normal(size=(4000, 5))
+    y, most = _peak(lambda: reduce.tsne(many, steps=2))
+    assert y.shape == (4000, 2) and most < 4000 * 4000 * 8 / 2
