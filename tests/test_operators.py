@@ -559,3 +559,26 @@ def test_tsne_of_many_rows():
     many = rng.normal(size=(4000, 5))
     y, most = _peak(lambda: reduce.tsne(many, steps=2))
     assert y.shape == (4000, 2) and most < 4000 * 4000 * 8 / 2
+
+
+@pytest.mark.parametrize("name", ["jitter_data", "violin_data"])
+def test_genes_times_cells_are_not_joined_by_a_shuffle(spark, name):
+    import re
+
+    from checks import DATA
+    from countloom.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join (LeftOuter|Inner), \(?\(+gene_id#\d+L? = gene_id#\d+L?\) AND \(cell_id", plan)
+
+
+def test_everywhere(spark):
+    from countloom.dataset import everywhere
+
+    genes = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (None, "n")], "gene_id long, name string")
+    cells = spark.createDataFrame([(c, c % 2) for c in range(10)] + [(None, 5)], "cell_id long, side long")
+    entries = spark.createDataFrame([(1, 3, 2.5), (2, 4, 1.0), (2, 9, None), (7, 1, 1.0), (None, 1, 1.0), (1, None, 1.0)], "gene_id long, cell_id long, value double")
+    want = genes.crossJoin(cells).join(entries, ["gene_id", "cell_id"], "left")
+    got = everywhere(genes, cells, entries)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 44
