@@ -561,7 +561,7 @@ def test_tsne_of_many_rows():
     assert y.shape == (4000, 2) and most < 4000 * 4000 * 8 / 2
 
 
-@pytest.mark.parametrize("name", ["jitter_data", "violin_data", "genes_in_pseudotime"])
+@pytest.mark.parametrize("name", ["jitter_data", "violin_data", "normalized_matrix", "genes_in_pseudotime"])
 def test_genes_times_cells_are_not_joined_by_a_shuffle(spark, name):
     import re
 
